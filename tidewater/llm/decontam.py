@@ -44,7 +44,7 @@ def grams(c: np.ndarray) -> np.ndarray:
     m, four = _M, None
     for width in (1, 2, 4):
         h = h[:-width] * m + h[width:] if len(h) > width else h[:0]
-        m = m * m
+        m = np.uint64(int(m) ** 2 % 2**64)
         if width == 2:
             four, m4 = h, m
     if len(c) < Q:
@@ -113,7 +113,7 @@ class Index:
                 got = align(self.codes[i], c, low, high, self.k[i])
                 if got:
                     out.append((self.ids[i], *got))
-        return out
+        return sorted(set(out))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
@@ -167,16 +167,19 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK)
 MATCHES = "array<struct<item:bigint,start:int,end:int,edits:int>>"
 
 
+def finder(held):
+    @F.pandas_udf(MATCHES)
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"item": i, "start": s, "end": e, "edits": d} for i, s, e, d in held.value.find(t)] for t in texts], dtype=object)
+
+    return find
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs and a column of matches; start and end count characters of the folded text."""
     out, parts = docs, []
     for n, block in enumerate(blocks(benchmark, item_id, item_text)):
-        held = docs.sparkSession.sparkContext.broadcast(Index(block))
-
-        @F.pandas_udf(MATCHES)
-        def find(texts: pd.Series) -> pd.Series:
-            return pd.Series([[{"item": i, "start": s, "end": e, "edits": d} for i, s, e, d in held.value.find(t)] for t in texts], dtype=object)
-
+        find = finder(docs.sparkSession.sparkContext.broadcast(Index(block)))
         out = out.withColumn(f"_m{n}", find(F.col(text_col)))
         parts.append(f"_m{n}")
     every = F.concat(*[F.col(p) for p in parts]) if parts else F.array().cast(MATCHES)
