@@ -39,6 +39,7 @@ TEMPLATES = {
 NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [NONE, *sorted(TEMPLATES)]
 CUE = re.compile(r"licen[sc]|copyright|warrant|permi(?:ssion|tted)|rights|public domain|creative commons|spdx|redistribut|\bcc[ -]?(?:by|0)|proprietary|free software", re.I)
+_HINTS = ("licen", "copyright", "warrant", "permi", "rights", "public domain", "creative commons", "spdx", "redistribut", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "proprietary", "free software")  # every cue holds one
 DIM = 1 << 13
 EXAMPLES = 60  # variations of each family, and 8 times as many without a license: the bound of the fit
 SHARE = 0.6  # of a template's words, in order
@@ -136,9 +137,11 @@ def finder(held):
         for text in texts:
             at, n, hits = 0, 0, []
             text = text or ""
+            low = text.lower()
+            hinted = any(h in low for h in _HINTS)
             for line in text.split("\n"):
                 n += bool(line.strip())
-                if CUE.search(line):
+                if hinted and CUE.search(line):
                     if line not in known:
                         if len(known) > 50_000:
                             known.clear()
