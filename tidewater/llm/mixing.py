@@ -62,30 +62,53 @@ def source_targets(sized: DataFrame) -> DataFrame:
     )
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
     """Number of good items among `draws` out of `total`, by inverting the distribution function at u.
 
-    Weights start from 1 at the mode and follow the ratio of neighbours, so nothing under- or overflows.
+    Outcomes are taken from the mode down, then from the mode up, with weights relative to the mode's by the ratio
+    of neighbours, so nothing under- or overflows.  They end 20 deviations from the mode, beyond what a double tells.
     """
-    lo = F.greatest(F.lit(0.0), good + draws - total)
-    hi = F.least(good, draws)
-    mode = F.least(hi, F.greatest(lo, F.floor((draws + 1) * (good + 1) / (total + 2)).cast("double")))
+    start = F.struct(good.alias("g"), total.alias("t"), draws.alias("d"), u.alias("u"))
+
+    def with_mode(s):
+        lo, hi = F.greatest(F.lit(0.0), s["g"] + s["d"] - s["t"]), F.least(s["g"], s["d"])
+        mode = F.least(hi, F.greatest(lo, F.floor((s["d"] + 1) * (s["g"] + 1) / (s["t"] + 2)).cast("double")))
+        far = F.ceil(20 * F.sqrt(s["g"])) + 20
+        return F.struct(s["g"].alias("g"), s["t"].alias("t"), s["d"].alias("d"), s["u"].alias("u"), mode.alias("mode"), F.least(mode - lo, far).cast("int").alias("below"), F.least(hi - mode, far).cast("int").alias("above"))
+
+    def ratio(s, k):  # p(k+1) / p(k)
+        return (s["g"] - k) * (s["d"] - k) / ((k + 1) * (s["t"] - s["g"] - s["d"] + k + 1))
+
+    def walk(s, n, factor, goal):
+        """(p, sum, number of outcomes whose sum stays under goal) over n outcomes beside the mode."""
+        seed = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("c"), F.lit(0).alias("n"))
+        steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+        def one(a, i):
+            return let(a["p"] * factor(i), lambda p: F.struct(p.alias("p"), (a["c"] + p).alias("c"), (a["n"] + F.when(a["c"] + p < goal, 1).otherwise(0)).alias("n")))
+
+        return F.aggregate(steps, seed, one)
+
+    down = lambda s, goal: walk(s, s["below"], lambda i: 1 / ratio(s, s["mode"] - i), goal)
+    up = lambda s, goal: walk(s, s["above"], lambda i: ratio(s, s["mode"] + i - 1), goal)
+
+    def invert(s):
+        sums = F.struct(down(s, F.lit(0.0))["c"].alias("below"), up(s, F.lit(0.0))["c"].alias("above"))
 
-    def ratio(k):  # p(k+1) / p(k)
-        return (good - k) * (draws - k) / ((k + 1) * (total - good - draws + k + 1))
+        def pick(m):
+            at = s["u"] * (1 + m["below"] + m["above"])
+            lower = s["mode"] - F.least(s["below"], down(s, at - 1)["n"] + 1)
+            upper = s["mode"] + F.least(s["above"], up(s, at - 1 - m["below"])["n"] + 1)
+            return F.when(at <= 1, s["mode"]).when(at <= 1 + m["below"], lower).otherwise(upper)
 
-    def walk(n: Column, factor):
-        seed = F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("all"))
-        steps = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, seed, lambda a, i: F.struct((a["p"] * factor(i)).alias("p"), F.concat(a["all"], F.array(a["p"] * factor(i))).alias("all")), lambda a: a["all"])
+        return let(sums, pick)
 
-    down = walk(mode - lo, lambda i: 1 / ratio(mode - i))
-    up = walk(hi - mode, lambda i: ratio(mode + i - 1))
-    weights = F.concat(F.reverse(down), F.slice(up, F.lit(2), F.greatest(F.size(up) - 1, F.lit(0))))
-    sum_ = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("n"))
-    below = F.aggregate(weights, zero, lambda a, x: F.struct((a["c"] + x).alias("c"), (a["n"] + F.when(a["c"] + x < u * sum_, 1).otherwise(0)).alias("n")), lambda a: a["n"])
-    return F.least(hi, lo + below)
+    return let(start, lambda s: let(with_mode(s), invert))
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -101,8 +124,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def one(a, x):
             u = uniform(draw, x["skey"])
-            k = hypergeometric(x["n"], a["left_total"], a["draws"], u)
-            return F.struct((a["left_total"] - x["n"]).alias("left_total"), (a["draws"] - k).alias("draws"), F.concat(a["got"], F.array(k)).alias("got"))
+            drawn = hypergeometric(x["n"], a["left_total"], a["draws"], u)
+            return let(drawn, lambda k: F.struct((a["left_total"] - x["n"]).alias("left_total"), (a["draws"] - k).alias("draws"), F.concat(a["got"], F.array(k)).alias("got")))
 
         node = node.withColumn("got", F.aggregate("q", start, one, lambda a: a["got"]))
         left = F.zip_with("q", "got", lambda x, k: F.struct(x["skey"].alias("skey"), k.alias("n")))
