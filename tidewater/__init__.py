@@ -1,0 +1 @@
+"""Financial event analytics on Spark."""
