@@ -2,7 +2,8 @@
 
 A document's set is its distinct 5-word shingles as 64-bit hashes, in one global order: shingles that a
 fixed-size bitmap marks as common come last, else by hash.  Two sets with Jaccard >= 0.8 share a
-shingle among the first n - ceil(0.8 n) + 1 of each (prefix filter).  Sets that share a prefix
+shingle among the first n - ceil(0.8 n) + 1 of each (prefix filter), and k + 1 of them if k more are looked at, so a
+set with fewer shared ones there takes no further part.  Sets that share a prefix
 shingle meet in the group of that shingle's pivot, the smallest key of its posting run; a set is sent
 once to each pivot it has, not once per shingle, and no pairs are written.
 
@@ -83,6 +84,16 @@ def need(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
+def extra(n: int) -> int:
+    """Shingles beyond the prefix that are looked at."""
+    return n // 10
+
+
+def shared_least(n: int) -> int:
+    """Of prefix and extra, those a linked pair has in common: one more than extra, by the smaller set's size."""
+    return extra(need(n)) + 1
+
+
 def linked(overlap: int, a: int, b: int) -> bool:
     return DEN * overlap >= NUM * (a + b - overlap)
 
@@ -198,29 +209,35 @@ def join_group(sets: list[np.ndarray], probe: list[bool] | None = None) -> Union
 # --- distributed part -----------------------------------------------------------------------------------
 
 
+ROWS = ["doc_id", "key", "n", "shingle", "core"]
+
+
 def prefix_rows(held):
-    """docs (doc_id, text, key) -> header rows (shingle null) and a row for each prefix shingle."""
+    """docs (doc_id, text, key) -> header rows (shingle null) and a row for each prefix (core) and extra shingle."""
 
     def run(batches):
         known = Hashes()
         for b in batches:
             ids, texts, keys = b.column("doc_id"), b.column("text"), b.column("key").to_numpy()
-            at_keys, at_sh, sizes = [], [], []
+            at_keys, at_sh, at_core, sizes = [], [], [], []
             for text, key in zip(texts, keys):
                 s = held.value.order(shingles(text.as_py(), known))
                 sizes.append(len(s))
                 if len(s):
-                    p = s[: len(s) - need(len(s)) + 1]
+                    core = len(s) - need(len(s)) + 1
+                    p = s[: core + extra(len(s))]
                     at_sh.append(p)
+                    at_core.append(np.arange(len(p)) < core)
                     at_keys.append(np.full(len(p), key, np.int64))
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int64())], names=["doc_id", "key", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=ROWS)
             if at_sh:
                 k, sh = np.concatenate(at_keys), np.concatenate(at_sh).view(np.int64)
                 size = np.repeat(np.array([x for x in sizes if x], np.int32), [len(p) for p in at_sh])
+                c = np.concatenate(at_core)
                 for i in range(0, len(k), 100_000):
                     z = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(k[z]), pa.int64()), pa.array(k[z]), pa.array(size[z]), pa.array(sh[z])], names=["doc_id", "key", "n", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(k[z]), pa.int64()), pa.array(k[z]), pa.array(size[z]), pa.array(sh[z]), pa.array(c[z])], names=ROWS)
 
     return run
 
@@ -238,23 +255,42 @@ def common_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh).view(np.int64)), pa.array(np.concatenate(keys))], names=["shingle", "key"])
 
 
-def pivots_of_runs(batches):
-    """Rows (shingle, n, key) sorted so -> distinct (key, pivot) of runs of at least two sets.
-
-    A run of one shingle is cut where no two neighbours by size can link; its pivot is its smallest key.
-    """
+def whole_runs(batches, names):
+    """Columns of sorted batches, cut only where the first column changes."""
     held = None
     for b in batches:
-        sh, n, key = (b.column(c).to_numpy() for c in ("shingle", "n", "key"))
+        now = [b.column(c).to_numpy() for c in names]
         if held is not None:
-            sh, n, key = (np.concatenate([x, y]) for x, y in zip(held, (sh, n, key)))
-        if not len(sh):
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
             continue
-        cut = int(np.searchsorted(sh, sh[-1], "left"))
-        held = (sh[cut:], n[cut:], key[cut:])
-        yield from emit_runs(sh[:cut], n[:cut], key[:cut])
+        cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+        held = [x[cut:] for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
     if held is not None:
-        yield from emit_runs(*held)
+        yield held
+
+
+def shared_counts(batches):
+    """Rows (shingle, key) sorted so -> (key, n): how many of a key's shingles other keys have too."""
+    for sh, key in whole_runs(batches, ("shingle", "key")):
+        first = np.flatnonzero(np.append(True, sh[1:] != sh[:-1]))
+        size = np.diff(np.append(first, len(sh)))
+        both = np.repeat(np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first), size)
+        once = np.append(True, (sh[1:] != sh[:-1]) | (key[1:] != key[:-1]))  # copies send the same rows
+        u, n = np.unique(key[both & once], return_counts=True)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["key", "shared"])
+
+
+def pivots_of_runs(batches):
+    """Rows (shingle, n, key) sorted so -> distinct (key, pivot) of runs of at least two sets.
+
+    A run of one shingle is cut where no two neighbours by size can link; its pivot is its smallest key.
+    """
+    for sh, n, key in whole_runs(batches, ("shingle", "n", "key")):
+        yield from emit_runs(sh, n, key)
 
 
 def emit_runs(sh, n, key):
@@ -340,9 +376,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = key_bitmap(often, "shingle").collect()  # at most 512 rows of 4 KB
     held = spark.sparkContext.broadcast(CommonBits([(r["_word"], r["_bits"]) for r in bits]))
 
-    rows = materialize(d.select("doc_id", "text", "key").mapInArrow(prefix_rows(held), "doc_id long, key long, n int, shingle long"), "join-prefixes")
+    rows = materialize(d.select("doc_id", "text", "key").mapInArrow(prefix_rows(held), "doc_id long, key long, n int, shingle long, core boolean"), "join-prefixes")
     heads = rows.where("shingle is null").select("doc_id", "key", "n")
-    runs = rows.where("shingle is not null").select("shingle", "n", "key").repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "key")
+    found = rows.where("shingle is not null").select("shingle", "key").repartition(parts, "shingle").sortWithinPartitions("shingle", "key")
+    shared = found.mapInArrow(shared_counts, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    # ceil(0.8 n) div 10 + 1, see shared_least
+    able = heads.groupBy("key").agg(F.first("n").alias("n")).join(shared, "key").where(f"shared >= ((n * {NUM} + {DEN - 1}) div {DEN}) div 10 + 1")
+    able = materialize(able.select("key"), "join-able")
+    runs = flag_keys(rows.where("core"), "key", key_bitmap(able, "key"), "maybe").where("maybe").select("shingle", "n", "key")
+    runs = runs.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "key")
     pairs = materialize(runs.mapInArrow(pivots_of_runs, "key long, pivot long").distinct(), "join-pivots")
 
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
