@@ -108,12 +108,12 @@ def dominant(df: DataFrame, keys: list[str], value: str, order: str, out: str) -
     return d.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_p"))).alias(out))
 
 
-def risk_score(severity: Column) -> dict[str, Column]:
+def risk_score(severity: Column, digits: int = 4) -> dict[str, Column]:
     """A-08: counts and score, 0.1 without rows; levels from 0.7 and 0.4."""
-    c, h, m, n = (F.count_if(severity == s) for s in ("critical", "high", "medium")), None, None, F.count("*")
-    c, h, m = c
+    c, h, m = (F.count_if(severity == s) for s in ("critical", "high", "medium"))
+    n = F.count("*")
     score = F.when(n == 0, 0.1).otherwise(F.least(F.lit(1.0), (c + 0.7 * h + 0.3 * m) / n))
-    return {"n": n, "risk_score": F.bround(score, 4), "risk_level": F.when(score >= 0.7, "HIGH").when(score >= 0.4, "MEDIUM").otherwise("LOW")}
+    return {"n": n, "risk_score": F.bround(score, digits), "risk_level": F.when(score >= 0.7, "HIGH").when(score >= 0.4, "MEDIUM").otherwise("LOW")}
 
 
 def severity_summary(avg: Column) -> dict[str, Column]:

@@ -429,12 +429,12 @@ def q43_sector_statistics(spark, sf):
     return d.groupBy("sector").agg(F.count("*").alias("n_events"), F.countDistinct("o_custkey").alias("n_tickers")).join(R.dominant(d, ["sector"], "s", "o_orderkey", "dominant"), "sector")
 
 
-@q(f"""with r as (select c_nationkey, count(*) n, least(1.0, (count(*) filter ({_W} = 4) + 0.7 * count(*) filter ({_W} = 3) + 0.3 * count(*) filter ({_W} = 2)) / count(*)) s from orders join customer on c_custkey = o_custkey group by 1)
-select c_nationkey, n, round_even(s, 4) risk_score, case when s >= 0.7 then 'HIGH' when s >= 0.4 then 'MEDIUM' else 'LOW' end risk_level from r""")
+@q(f"""with r as (select c_nationkey, count(*) n, least(1.0, (count(*) filter ({_W} = 4) + cast(0.7 as double) * count(*) filter ({_W} = 3) + cast(0.3 as double) * count(*) filter ({_W} = 2)) / count(*)) s from orders join customer on c_custkey = o_custkey group by 1)
+select c_nationkey, n, round_even(s, 8) risk_score, case when s >= 0.7 then 'HIGH' when s >= 0.4 then 'MEDIUM' else 'LOW' end risk_level from r""")
 def q44_risk_score(spark, sf):
     """API-4, A-08."""
     d = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return d.groupBy("c_nationkey").agg(*[c.alias(k) for k, c in R.risk_score(F.expr(_SEV)).items()])
+    return d.groupBy("c_nationkey").agg(*[c.alias(k) for k, c in R.risk_score(F.expr(_SEV), 8).items()])
 
 
 @q("""select conv_id, count(*) n_rows, (array_agg(left(split_part(text, chr(10), 1), 80) order by turn, role))[1] as title, string_agg(distinct role, ',' order by role) roles from conversations group by 1""")
