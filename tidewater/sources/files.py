@@ -99,9 +99,10 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 
 def read_envelopes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """IO-29, X-07: landed episodes, and the lines that can't be read."""
-    d = spark.read.schema(ENVELOPE + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
-    d = d.withColumn("file", F.col("_metadata.file_path"))
-    return d.where("_corrupt is null").select("v", "captured_at", "cycle_id", "episode.*", "file"), d.where("_corrupt is not null").select("_corrupt", "file")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
+    e = F.from_json("value", ENVELOPE + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    d = lines.withColumn("e", e)
+    return d.where("e._corrupt is null").select("e.v", "e.captured_at", "e.cycle_id", "e.episode.*", "file"), d.where("e._corrupt is not null").select("e._corrupt", "file")
 
 
 def write_landing(df: DataFrame, path: str, day: Column) -> None:
