@@ -8,7 +8,9 @@ for suffixes that the level before left in company:
   1. the q-gram bucket: the 201 bytes from the anchor on, which all windows of the anchor hold;
   2. the cover: the string from the first to the last byte of the anchor's windows; suffixes with an equal
      cover have all their windows repeated, and one of them stands for all from here on;
-  3. for buckets with a lone cover and company: the identifiers of the single windows.
+  3. for buckets with a lone cover and company: runs of up to RUN windows at one distance from the anchor, bucketed
+     by the string that all windows of such a run share and told apart by their own cover, as above;
+  4. for those buckets with a lone cover and company: the identifiers of the single windows.
 
 Counts combine before shuffles, so a string with very many copies is no hot task, and copies of one text
 count as copies.  Identifiers are 64-bit hashes.  Null and empty texts, and texts under the length: nothing is
@@ -29,6 +31,7 @@ from .common import flag_keys, key_bitmap, materialize, mix64, text_key
 LENGTH = 400
 ANCHORS = 200
 GRAM = 16
+RUN = 16  # windows refined together before single ones
 BUCKET = LENGTH - ANCHORS + 1
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 2**64)
@@ -61,6 +64,10 @@ class Hasher:
     def ids(self, start, end) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.inv[start])
 
+    def covers(self, at, lo, hi) -> np.ndarray:
+        """Identifiers of the strings from the first to the last byte of windows lo to hi, with their place at the anchor."""
+        return self.ids(lo, hi + LENGTH) ^ mix64(((at - lo) * 4096 + hi - at + 2048).astype(np.uint64))
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor, first window, last window) of every run of windows with one anchor."""
         m = self.n - GRAM + 1
@@ -78,7 +85,7 @@ class Hasher:
 
 
 def suffix_rows(batches):
-    """(text, key) -> (bucket, cover, key, lo, hi) for each anchor."""
+    """(text, key) -> (bucket, cover, key, lo, hi, at) for each anchor."""
     powers = Powers()
     for b in batches:
         held, n = [], 0
@@ -88,7 +95,7 @@ def suffix_rows(batches):
                 continue
             h = Hasher(raw, powers)
             at, lo, hi = h.anchors()
-            held.append((h.ids(at, at + BUCKET), h.ids(lo, hi + LENGTH) ^ mix64(((at - lo) * 4096 + hi - at + 2048).astype(np.uint64)), np.full(len(at), key), lo, hi))
+            held.append((h.ids(at, at + BUCKET), h.covers(at, lo, hi), np.full(len(at), key), lo, hi, at))
             n += len(at)
             if n > 100_000:
                 yield suffix_batch(held)
@@ -100,13 +107,37 @@ def suffix_rows(batches):
 def suffix_batch(held):
     c = [np.concatenate(x) for x in zip(*held)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(c[2], pa.int64()), pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(np.int32))],
-        names=["bucket", "cover", "key", "lo", "hi"],
+        [pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(c[2], pa.int64()), pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(np.int32)), pa.array(c[5].astype(np.int32))],
+        names=["bucket", "cover", "key", "lo", "hi", "at"],
     )
 
 
+def run_rows(batches):
+    """(key, text, todo array<struct<lo,hi,at,alone>>) -> (bucket, cover, key, lo, hi, at, alone) for runs of windows.
+
+    A run's windows start RUN * i to RUN * i + RUN - 1 bytes before the anchor; all of them hold the bucket's string.
+    """
+    powers = Powers()
+    for b in batches:
+        for key, text, todo in zip(b.column("key").to_numpy(), b.column("text"), b.column("todo").to_pylist()):
+            h = Hasher(text.as_buffer().to_pybytes(), powers)
+            t = np.array([(x["lo"], x["hi"], x["at"], x["alone"]) for x in todo], np.int64)
+            first, last = (t[:, 2] - t[:, 1]) // RUN, (t[:, 2] - t[:, 0]) // RUN
+            n = last - first + 1
+            which = np.repeat(np.arange(len(t)), n)
+            i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n - first, n)
+            lo, hi, at, alone = t[which].T
+            near = at - RUN * i  # the run's last window, were it whole
+            lo, hi = np.maximum(lo, near - RUN + 1), np.minimum(hi, near)
+            bucket = h.ids(near, near - RUN + 1 + LENGTH) ^ mix64((i + 1).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket.view(np.int64)), pa.array(h.covers(at, lo, hi).view(np.int64)), pa.array(np.full(len(at), key), pa.int64()), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at)), pa.array(alone.astype(bool))],
+                names=["bucket", "cover", "key", "lo", "hi", "at", "alone"],
+            )
+
+
 def window_rows(batches):
-    """(key, text, todo array<struct<lo,hi,alone>>) -> (window, key, at, alone), a row for each window of todo."""
+    """(key, text, todo array<struct<lo,hi,at,alone>>) -> (window, key, at, alone), a row for each window of todo."""
     powers = Powers()
     for b in batches:
         for key, text, todo in zip(b.column("key").to_numpy(), b.column("text"), b.column("todo").to_pylist()):
@@ -140,21 +171,32 @@ def cut_rows(batches):
         )
 
 
+def told_apart(d: DataFrame, rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """rows (bucket, cover, key, lo, hi, at, alone) -> windows of equal covers (key, lo, hi); texts to refine (key, text, todo).
+
+    Rows not alone are known to be repeated and only keep others company.
+    """
+    lone = F.col("n") == 1
+    covers = rows.groupBy("bucket", "cover").agg(F.count("*").alias("n"), F.max("alone").alias("alone"), F.min(F.struct("key", "lo", "hi", "at")).alias("rep"))
+    covers = materialize(covers.withColumn("alone", F.col("alone") & lone), tag + "-covers")
+    spans = rows.where("alone").join(covers.where("n > 1").select("bucket", "cover"), ["bucket", "cover"]).select("key", "lo", "hi")
+    mixed = covers.groupBy("bucket").agg(F.count("*").alias("m"), F.max("alone").alias("alone")).where("m > 1 and alone").select("bucket")
+    todo = covers.join(materialize(mixed, tag + "-mixed"), "bucket").select("rep.key", F.struct("rep.lo", "rep.hi", "rep.at", "alone").alias("t"))
+    todo = materialize(todo.groupBy("key").agg(F.collect_list("t").alias("todo")), tag + "-todo")
+    near = flag_keys(d.select("key", "text"), "key", key_bitmap(todo, "key"), "maybe").where("maybe").drop("maybe")
+    return spans, near.dropDuplicates(["key"]).join(todo, "key").select("key", "text", "todo")
+
+
 def repeated_windows(d: DataFrame) -> DataFrame:
     """d (text, key) -> (key, spans array<struct<lo,hi>>): runs of window starts whose window occurs again."""
-    rows = materialize(d.select("text", "key").mapInArrow(suffix_rows, "bucket long, cover long, key long, lo int, hi int"), "dup-suffixes")
+    rows = materialize(d.select("text", "key").mapInArrow(suffix_rows, "bucket long, cover long, key long, lo int, hi int, at int"), "dup-suffixes")
     many = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = materialize(rows.join(many, "bucket"), "dup-company")
-    covers = rows.groupBy("bucket", "cover").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("rep"))
-    covers = materialize(covers, "dup-covers")
-    spans = rows.join(covers.where("n > 1").select("bucket", "cover"), ["bucket", "cover"]).select("key", "lo", "hi")
-
-    mixed = covers.groupBy("bucket").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("bucket")
-    todo = covers.join(materialize(mixed, "dup-mixed"), "bucket").select("rep.key", F.struct("rep.lo", "rep.hi", (F.col("n") == 1).alias("alone")).alias("t"))
-    todo = materialize(todo.groupBy("key").agg(F.collect_list("t").alias("todo")), "dup-todo")
-    near = flag_keys(d.select("key", "text"), "key", key_bitmap(todo, "key"), "maybe").where("maybe").drop("maybe")
-    near = near.dropDuplicates(["key"]).join(todo, "key")
-    wins = materialize(near.select("key", "text", "todo").mapInArrow(window_rows, "window long, key long, at int, alone boolean"), "dup-windows")
+    rows = materialize(rows.join(many, "bucket").withColumn("alone", F.lit(True)), "dup-company")
+    spans, near = told_apart(d, rows, "dup-level-2")
+    runs = materialize(near.mapInArrow(run_rows, "bucket long, cover long, key long, lo int, hi int, at int, alone boolean"), "dup-runs")
+    more, near = told_apart(d, runs, "dup-level-3")
+    spans = spans.unionByName(more)
+    wins = materialize(near.mapInArrow(window_rows, "window long, key long, at int, alone boolean"), "dup-windows")
     twice = wins.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     single = wins.where("alone").join(twice, "window").select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
     every = spans.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
