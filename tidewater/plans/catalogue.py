@@ -127,10 +127,10 @@ def q08_relevance_domain_or_keyword(spark, sf):
     return _t(spark, sf, "pages").where(X.relevant(host, F.col("html"), HOSTS, ["THE"])).select("page_id", host.alias("host"))
 
 
-@q("select doc_id from documents where lang = 'en' and regexp_matches(lower(text), '\\b(idiot|worthless|license)\\b')")
+@q("select doc_id from documents where regexp_matches(lower(text), '\\b(idiot|worthless|license)\\b')")
 def q09_feed_relevance_wordboundary(spark, sf):
     """F-07."""
-    return _t(spark, sf, "documents").where((F.col("lang") == "en") & X.mentions_word(F.col("text"), ["idiot", "worthless", "license"])).select("doc_id")
+    return _t(spark, sf, "documents").where(X.mentions_word(F.col("text"), ["idiot", "worthless", "license"])).select("doc_id")
 
 
 @q(f"select event_id, event_type from events where ts >= {TS} - to_days(case event_type when 'error' then 7 when 'click' then 3 else 14 end)")
@@ -226,25 +226,25 @@ def q21_sanctions_country_first(spark, sf):
 _STOP = ", ".join(f"'{w}'" for w in R.vocab.STOP_WORDS)
 
 
-@q(f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{3,}}'),1) pos from documents where lang = 'en'),
+@q(f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{3,}}'),1) pos from documents),
 c as (select doc_id, word, count(*) n, min(pos) f from w where word not in ({_STOP}) group by 1,2)
 select doc_id, word, n, row_number() over (partition by doc_id order by n desc, f) as rank from c qualify rank <= 8""")
 def q22_tf_keywords_top8(spark, sf):
     """A-10."""
-    return R.keyword_counts(_t(spark, sf, "documents").where("lang = 'en'"), "doc_id", F.col("text"))
+    return R.keyword_counts(_t(spark, sf, "documents"), "doc_id", F.col("text"))
 
 
-@q("select doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:8], ' ') as keywords from documents where lang = 'en'")
+@q("select doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:8], ' ') as keywords from documents")
 def q23_title_keywords_first_n(spark, sf):
     """S-09, T-07."""
-    return _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.array_join(S.keywords_first(F.col("text")), " ").alias("keywords"))
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(S.keywords_first(F.col("text")), " ").alias("keywords"))
 
 
 @q("""select doc_id, regexp_matches(text, '(?i)\\bgold\\b') as gold, regexp_matches(text, '(?i)\\btariff\\b') as tariff, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\$([A-Z]{2,5})\\b', 1))), ','), '') as tickers
-from (select doc_id, replace(replace(text, ' the ', ' gold '), ' of ', ' $ABC tariff ') as text from documents where lang = 'en')""")
+from (select doc_id, replace(replace(text, ' the ', ' gold '), ' of ', ' $ABC tariff ') as text from documents)""")
 def q24_entity_regex_extract(spark, sf):
     """S-11 on texts with names put in."""
-    d = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", S.entities(F.expr("replace(replace(text, ' the ', ' gold '), ' of ', ' $ABC tariff ')")).alias("e"))
+    d = _t(spark, sf, "documents").select("doc_id", S.entities(F.expr("replace(replace(text, ' the ', ' gold '), ' of ', ' $ABC tariff ')")).alias("e"))
     has = lambda n: F.exists("e", lambda x: x["name"] == n)
     return d.select("doc_id", has("Gold").alias("gold"), has("Tariffs").alias("tariff"), F.array_join(F.transform(F.filter("e", lambda x: x["type"] == "stock"), lambda x: x["name"]), ",").alias("tickers"))
 
@@ -457,12 +457,12 @@ def q46_edge_type_normalize(spark, sf):
     return _t(spark, sf, "events").select("event_id", S.edge_type(name).alias("edge_type"))
 
 
-@q("""with f as (select doc_id, lower(left(replace(replace(text, ' the ', ' owned by '), ' of ', ' led to '), 300)) t from documents where lang = 'en')
+@q("""with f as (select doc_id, lower(replace(replace(text, ' the ', ' owned by '), ' of ', ' led to ')) t from documents)
 select doc_id, case when regexp_matches(t, '\\bowned\\s+by\\b|\\bowns\\b|\\bacquired\\b') then 'PART_OF' when regexp_matches(t, '\\bled\\s+to\\b') then 'TRIGGERS' end as core from f""")
 def q47_edge_type_from_fact(spark, sf):
     """S-24, A-16 on facts with phrases put in."""
-    fact = F.expr("left(replace(replace(text, ' the ', ' owned by '), ' of ', ' led to '), 300)")
-    return _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", S.edge_type_of_fact(fact).alias("core"))
+    fact = F.expr("replace(replace(text, ' the ', ' owned by '), ' of ', ' led to ')")
+    return _t(spark, sf, "documents").select("doc_id", S.edge_type_of_fact(fact).alias("core"))
 
 
 @q("""select s_suppkey, case when s_suppkey % 3 = 0 then 'T' || s_suppkey end as ticker from supplier""")
@@ -531,10 +531,10 @@ def q56_translation_chunk_pack(spark, sf):
 
 
 @q("""select doc_id, nullif(regexp_replace(regexp_replace(t, '(?is)(?:\\[END OF CONTENT\\]|ENTITY RESOLUTION RULES).*$', ''), '^[\"''\\s]+|[\"''\\s]+$', '', 'g'), '') as cleaned from
-(select doc_id, replace(substr(text,1,400), ' of ', ' [end of content] ') t from documents where lang = 'en')""")
+(select doc_id, replace(text, ' of ', ' [end of content] ') t from documents)""")
 def q57_leak_truncate(spark, sf):
     """S-04, S-25, X-15."""
-    return _t(spark, sf, "documents").where("lang = 'en'").select("doc_id", S.truncate_leaked(F.expr("replace(substr(text,1,400), ' of ', ' [end of content] ')")).alias("cleaned"))
+    return _t(spark, sf, "documents").select("doc_id", S.truncate_leaked(F.expr("replace(text, ' of ', ' [end of content] ')")).alias("cleaned"))
 
 
 @q("select sha256(text) as content_hash, min(lang) as lang from documents group by 1")
@@ -569,10 +569,10 @@ def q60_exchange_routing(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", S.exchange_of((F.col("p_partkey") * 347).cast("string")).alias("exchange"))
 
 
-@q("""select c_custkey, o_orderkey, 'RELATED' as rel from customer left join orders on o_custkey = c_custkey where c_custkey % 10 = 0""")
+@q("""select c_custkey, o_orderkey, 'RELATED' as rel from customer left join orders on o_custkey = c_custkey""")
 def q61_optional_match_chain(spark, sf):
     """J-08, J-09: outer chain, rows without a match stay."""
-    return _t(spark, sf, "customer").where("c_custkey % 10 = 0").join(_t(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey", F.lit("RELATED").alias("rel"))
+    return _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey", F.lit("RELATED").alias("rel"))
 
 
 @q("""select a.c_custkey as stock, b.c_mktsegment as sector, count(*) n from customer a join (select c_mktsegment, min(c_custkey) m from customer group by 1) b on a.c_mktsegment = b.c_mktsegment join orders on o_custkey = a.c_custkey group by 1,2""")
