@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import articles as A
 from ..functions import scalars as S
 from ..operators import filters as X
 from ..operators import graph as G
@@ -589,3 +590,20 @@ def q63_macro_severity_bands(spark, sf):
     """S-15."""
     v = F.col("value")
     return _t(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", S.severity_fatalities(v, F.lit("Protests"))).otherwise(S.severity_china(F.lit("pmi"), v)).alias("severity"))
+
+
+@q("select doc_id, '.' || text as body, source from documents where text is not null and source is not null")
+def q64_front_matter_split(spark, sf):
+    """S-37 on texts with front matter put before them."""
+    d = _t(spark, sf, "documents").where("text is not null and source is not null")
+    m = A.front_matter(F.concat(F.lit("---\nsource: "), F.col("source"), F.lit("\nkind: 'a'\n---\n."), F.col("text")))
+    return d.select("doc_id", m.alias("m")).select("doc_id", "m.body", F.element_at("m.metadata", F.lit("source")).alias("source"))
+
+
+@q("select doc_id, case when length(text) >= 200 then text end as article, case when length(text) >= 200 then 'json_ld' end as engine from documents")
+def q65_article_extraction(spark, sf):
+    """K-03, K-04 on pages built around each text; the embedded state is broken, so the linked data is taken."""
+    body = F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.col("text").alias("articleBody")))
+    html = F.concat(F.lit("<html><script id='__NEXT_DATA__'>{oops</script><script type='application/ld+json'>{\"@graph\":["), body, F.lit("]}</script></html>"))
+    e = A.extract(html)
+    return _t(spark, sf, "documents").select("doc_id", e.alias("e")).select("doc_id", F.col("e.text").alias("article"), "e.engine")
