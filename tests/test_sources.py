@@ -1,5 +1,9 @@
 """Readers on small files."""
 
+import zipfile
+
+import pytest
+
 from tidewater.sources import files as IO
 
 
@@ -35,3 +39,18 @@ def test_envelopes_and_whitelist(spark, tmp_path):
     for name, text in (("o.json", '{"tickers":[{"ticker":"1","name":"a"}]}'), ("a.json", '[{"ticker":"1","name":"a"}]')):
         (tmp_path / name).write_text(text)
         assert IO.read_whitelist(spark, str(tmp_path / name)).count() == 1
+
+
+def test_zip_and_manifest(spark, tmp_path):
+    row = ["1"] + [""] * 15
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("note.txt", "no")
+        z.writestr("m.CSV", "\t".join(row) + "\r\n" + "\t".join(["2"] + row[1:]) + "\n")
+    (tmp_path / "b.zip").write_bytes(b"not a zip")
+    got = IO.read_mentions(spark, str(tmp_path / "*.zip")).collect()
+    assert sorted(r.event_id for r in got) == ["1", "2"]
+    (tmp_path / "good.txt").write_text("".join(f"10 h{i} http://e/{i}\n" for i in range(3)))
+    (tmp_path / "bad.txt").write_text("10 h http://e/1\n10 h\n")
+    assert IO.read_manifest(spark, str(tmp_path / "good.txt")) == [f"http://e/{i}" for i in range(3)]
+    with pytest.raises(ValueError):
+        IO.read_manifest(spark, str(tmp_path / "bad.txt"))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+LINES = 10_000
+
 # Positions of the columns used.
 EVENT_COLUMNS = {"event_id": 0, "event_date": 1, "actor1_code": 5, "actor1_name": 6, "actor2_code": 15, "actor2_name": 16, "cameo_code": 26, "goldstein_scale": 30, "avg_tone": 34, "lat": 40, "lon": 41, "source_url": 60}
 MENTION_COLUMNS = {"event_id": 0, "mention_time": 2, "mention_type": 3, "source_common_name": 4, "document_identifier": 5, "mention_confidence": 11}
@@ -16,12 +24,48 @@ ENVELOPE = "v int, captured_at timestamp, cycle_id string, episode struct<episod
 
 
 def _tsv(spark: SparkSession, path: str, columns: dict[str, int], least: int) -> DataFrame:
-    """Rows of at least `least` fields; longer rows are cut, blank and short ones dropped."""
+    """Rows of at least `least` fields; longer rows are cut, blank and short ones dropped. Zips are read in place."""
     f = F.split("value", "\t", -1)
-    raw = spark.read.text(path).where(F.trim("value") != "").withColumn("_f", f).where(F.size("_f") >= least)
+    lines = zipped_lines(spark, path) if path.lower().endswith(".zip") else spark.read.text(path)
+    raw = lines.where(F.trim("value") != "").withColumn("_f", f).where(F.size("_f") >= least)
     return raw.select(*[F.trim(F.get("_f", F.lit(i))).alias(n) for n, i in columns.items()])
 
 
+def _unzip(batches):
+    """Binary contents -> lines of the first .csv in each; an archive that is none, or has none, gives no lines."""
+    for b in batches:
+        for content in b.column("content"):
+            try:
+                z = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                name = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
+                if name is None:
+                    continue
+                with z.open(name) as f:
+                    lines = io.TextIOWrapper(f, "utf-8", errors="replace", newline="\n")
+                    while part := [x.rstrip("\r\n") for x in itertools.islice(lines, LINES)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["value"])
+            except (zipfile.BadZipFile, zlib.error):
+                continue
+
+
+def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """IO-09: column value, the lines of landed zips; one task holds an archive's compressed bytes, never its whole text."""
+    found = spark.read.format("binaryFile").load(path).select("content")
+    return found.mapInArrow(_unzip, "value string")
+
+
+def read_manifest(spark: SparkSession, path: str) -> list[str]:
+    """IO-08: the urls of the first three lines of at least three fields, third a url; ValueError if there are fewer lines or one is bad.
+
+    A manifest is three lines, so it comes to the driver.
+    """
+    lines = [r.value.split() for r in spark.read.text(path).where(F.trim("value") != "").limit(3).collect()]
+    ok = len(lines) == 3 and all(len(x) >= 3 and x[2].startswith("http") for x in lines)
+    if not ok:
+        raise ValueError(f"not a manifest: {path}")
+    return [x[2] for x in lines]
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """IO-01 to IO-04: 61 columns; rows with a bad date go."""
     d = _tsv(spark, path, EVENT_COLUMNS, 61)
