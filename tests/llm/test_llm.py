@@ -171,6 +171,28 @@ def test_lm_base_and_score(docs, rows):
     assert sum(r.score for r in out) > even
 
 
+def test_lm_reads_order(spark):
+    r = random.Random(8)
+    follow = {w: r.sample([f"w{i}" for i in range(40)], 2) for w in [f"w{i}" for i in range(40)]}
+
+    def fluent(n):
+        out = ["w0"]
+        while len(out) < n:
+            out.append(r.choice(follow[out[-1]]))
+        return out
+
+    held = [i for i in range(4000) if lmscore.is_held_out(i)][:20]
+    train = [i for i in range(4000) if not lmscore.is_held_out(i)][:200]
+    told = {i: fluent(80) for i in held}
+    data = [(i, " ".join(fluent(80))) for i in train] + [(i, " ".join(w)) for i, w in told.items()] + [(i, " ".join(r.sample(w, 80))) for i, w in told.items()]
+    got = collections.defaultdict(list)
+    for x in lmscore.score_texts(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).where("held_out").collect():
+        got[x.doc_id].append((round(x.base_score, 6), x.score))
+    for i in held:
+        (base_a, a), (base_b, b) = got[i]
+        assert base_a == base_b and abs(a - b) > 10
+
+
 def test_quality(spark, docs, rows):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     want = []
