@@ -237,6 +237,17 @@ def test_licenses(docs):
     assert licenses.license_report(docs).count() == docs.count()
 
 
+def test_licenses_without_cue_and_wrapped():
+    m = licenses.trained()
+    found = lambda text: [(h["family"], h["start"], h["end"]) for h in licenses.hits_of(m, text, {})[1]]
+    for text, want in (("Released under the BSD 3-Clause.", "bsd"), ("Released under the MIT terms.", "mit"), ("GNU GPL v3", "unknown"), ("Apache-2.0", "unknown")):
+        assert found(text) == [(want, 0, len(text))], text
+    gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nversion 3."
+    assert found("a line of words\n\n" + gpl + "\n\nmore words") == [("gpl-3.0", 17, 17 + len(gpl))]
+    plain = "the sun and the sea\nwere quiet that day and the night"
+    assert found(plain) == [] and licenses.hits_of(m, plain, {})[0] == 2
+
+
 def test_decontamination(spark, docs):
     r = random.Random(2)
     text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))

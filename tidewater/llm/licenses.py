@@ -5,13 +5,17 @@ variations of them, names the licence family of a paragraph.  A cut on the winni
 held-out variations and on held-out paragraphs without a license, sends doubtful ones to `unknown`; a prediction
 is confirmed only if enough of some template of its family is found in order (longest common subsequence of words).
 
-Paragraphs are lines.  A paragraph without any feature word of the model that only licenses have cannot
-win a family and is skipped.  Null and empty texts: no paragraph.  Repeated rows: one result row each.
+Paragraphs are lines, and blocks of several lines between blank lines as well, so that wrapped notices count as
+one; a block is reported for a family that none of its lines shows, in place of its `unknown` lines.  Skipped unseen is
+only what cannot be confirmed for any family, as it holds too few words of every template, and has no sign of a
+license either: neither a cue nor, for two words and half of all at least, words of licenses' names that each alone speak for one.  Without such a sign nothing
+is `unknown`.  n_paragraphs counts lines.  Null and empty texts: no paragraph.  Repeated rows: one result row each.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +43,6 @@ TEMPLATES = {
 NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [NONE, *sorted(TEMPLATES)]
 CUE = re.compile(r"licen[sc]|copyright|warrant|permi(?:ssion|tted)|rights|public domain|creative commons|spdx|redistribut|\bcc[ -]?(?:by|0)|proprietary|free software", re.I)
-_HINTS = ("licen", "copyright", "warrant", "permi", "rights", "public domain", "creative commons", "spdx", "redistribut", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "proprietary", "free software")  # every cue holds one
 DIM = 1 << 13
 EXAMPLES = 60  # variations of each family, and 8 times as many without a license: the bound of the fit
 SHARE = 0.6  # of a template's words, in order
@@ -112,19 +115,80 @@ def in_order(template: list[str], ws: list[str]) -> float:
 _SPLIT = {f: [words(t) for t in ts] for f, ts in TEMPLATES.items()}
 
 
+_COUNTS = [Counter(t) for ts in _SPLIT.values() for t in ts]
+_HOLDS: dict[str, list[tuple[int, int]]] = {}  # word -> (template, how often)
+for _i, _c in enumerate(_COUNTS):
+    for _w, _n in _c.items():
+        _HOLDS.setdefault(_w, []).append((_i, _n))
+_NEED = [SHARE * c.total() for c in _COUNTS]
+_WORDS = frozenset(_HOLDS)
+
+
+def within_reach(held: set[str]) -> bool:
+    """Whether these words can be SHARE of some template in order: no family is confirmed without."""
+    sums = [0] * len(_NEED)
+    for w in held:
+        for i, n in _HOLDS[w]:
+            sums[i] += n
+    return any(a >= n - 1e-9 for a, n in zip(sums, _NEED))
+
+
+@lru_cache(1)
+def telling() -> frozenset[str]:
+    """Words of licenses' names, not of plain paragraphs, that alone speak more for some license than for none."""
+    w, b, _ = trained()
+    names = {"gnu", "mozilla", *(x for f in TEMPLATES for x in words(f)), *(x for ts in _SPLIT.values() for t in ts if t[0] == "spdx" for x in t[3:])}
+    return frozenset(t for t in names.difference(_PLAIN) if softmax(w[features([t])].sum(0) + b)[0] < 0.5)
+
+
 def classify(model, paragraph: str) -> tuple[str, float]:
     """(family, probability): NONE, a family, or UNKNOWN."""
     w, b, cut = model
     ws = words(paragraph)
-    if not ws or not CUE.search(paragraph):
+    held = _WORDS.intersection(ws)
+    told = bool(ws) and (2 * sum(x in telling() for x in ws) >= max(4, len(ws)) or CUE.search(paragraph) is not None)
+    if not told and not within_reach(held):
         return NONE, 1.0
     p = softmax(w[features(ws)].sum(0) + b)
     y = int(p.argmax())
     if y == 0 and p[0] >= cut:
         return NONE, float(p[0])
-    if p[y] >= cut and max(in_order(t, ws) for t in _SPLIT[FAMILIES[y]]) >= SHARE:
+    if y and p[y] >= cut and max(in_order(t, ws) for t in _SPLIT[FAMILIES[y]]) >= SHARE:
         return FAMILIES[y], float(p[y])
-    return UNKNOWN, float(p[y])
+    return (UNKNOWN if told else NONE), float(p[y])
+
+
+def hits_of(model, text: str, known: dict) -> tuple[int, list[dict]]:
+    """(number of lines with text, hits in order)."""
+    at, n, hits, block = 0, 0, [], []
+
+    def one(paragraph: str, start: int, end: int) -> dict | None:
+        if paragraph not in known:
+            if len(known) > 50_000:
+                known.clear()
+            known[paragraph] = classify(model, paragraph)
+        family, score = known[paragraph]
+        return None if family == NONE else {"family": family, "start": start, "end": end, "score": round(score, 6)}
+
+    def close():
+        found = [h for s, e in block if (h := one(text[s:e], s, e))]
+        if len(block) > 1:
+            s, e = block[0][0], block[-1][1]
+            family, score = classify(model, text[s:e])
+            if family not in (NONE, UNKNOWN) and family not in {h["family"] for h in found}:
+                found = [h for h in found if h["family"] != UNKNOWN] + [{"family": family, "start": s, "end": e, "score": round(score, 6)}]
+        hits.extend(sorted(found, key=lambda h: h["start"]))
+        block.clear()
+
+    for line in text.split("\n"):
+        if line.strip():
+            n += 1
+            block.append((at, at + len(line)))
+        else:
+            close()
+        at += len(line) + 1
+    close()
+    return n, hits
 
 
 FOUND = "struct<n_paragraphs:bigint,hits:array<struct<family:string,start:int,end:int,score:double>>>"
@@ -133,25 +197,8 @@ FOUND = "struct<n_paragraphs:bigint,hits:array<struct<family:string,start:int,en
 def finder(held):
     @F.pandas_udf(FOUND)
     def find(texts: pd.Series) -> pd.DataFrame:
-        rows, known = [], {}
-        for text in texts:
-            at, n, hits = 0, 0, []
-            text = text or ""
-            low = text.lower()
-            hinted = any(h in low for h in _HINTS)
-            for line in text.split("\n"):
-                n += bool(line.strip())
-                if hinted and CUE.search(line):
-                    if line not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[line] = classify(held.value, line)
-                    family, score = known[line]
-                    if family != NONE:
-                        hits.append({"family": family, "start": at, "end": at + len(line), "score": round(score, 6)})
-                at += len(line) + 1
-            rows.append((n, hits))
-        return pd.DataFrame(rows, columns=["n_paragraphs", "hits"])
+        known: dict = {}
+        return pd.DataFrame([hits_of(held.value, text or "", known) for text in texts], columns=["n_paragraphs", "hits"])
 
     return find
 
