@@ -214,6 +214,23 @@ def test_quality(spark, docs, rows):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_of_many_languages(spark):
+    clean = " ".join(f"w{i}x" for i in range(30))
+    loud = clean.upper()
+    text = {f"l{i:02}": clean for i in range(16)} | {"s1": loud, "s2": clean, None: clean}
+    n = {lang: 700 if lang == "s1" else 800 for lang in text}
+    data = [(lang, t) for lang, t in text.items() for _ in range(n[lang])]
+    docs = [(i, lang, t) for i, (lang, t) in enumerate(data)]
+    extra = [(-1, "unlabelled", loud), (-2, "s2", loud), (-3, None, loud)]
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in docs], "doc_id long, quality int")
+    d = spark.createDataFrame(docs + extra, "doc_id long, lang string, text string").repartition(3)
+    out = quality.quality_report(d, labels)
+    lost = {r.doc_id for r in out.where("not kept").collect()}
+    assert lost == {-2, -3}
+    kept = {r.doc_id for r in quality.keep_good(d, labels).select("doc_id").collect()}
+    assert kept == {i for i, _, _ in docs + extra} - lost
+
+
 def test_risk_control():
     assert abs(quality.upper_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-9 and quality.upper_bound(5, 5, 0.1) == 1
     tail = sum(math.comb(200, i) * (p := quality.upper_bound(7, 200, 0.01)) ** i * (1 - p) ** (200 - i) for i in range(8))

@@ -5,10 +5,10 @@ documents: from the loosest cutoff down, each is tested with an exact (Clopper-P
 share of good documents it would reject; testing stops at the first failure (fixed sequence), and
 the error level is divided among all stratum x rule pairs (Bonferroni).  So with probability 1 - delta
 no stratum loses more than `risk` of its good documents to all rules together.  Counts behind the bounds
-are histograms over all labelled documents, at most STRATA x rules x BINS rows.
+are histograms over all labelled documents, at most strata x rules x BINS rows; cutoffs are joined by stratum.
 
-Null or empty text: no words, base_failed.  Strata beyond the STRATA most labelled, and null languages, share
-one.  Without labels no cutoff is set and only the base rules reject.  Labels of other values than 0 and 1
+Null or empty text: no words, base_failed.  Null languages are a stratum of their own.  A stratum without
+labels, or with too few for any bound, has no learned cutoff: only the base rules reject there.  Labels of other values than 0 and 1
 are ignored; several labels of a document each count.  Repeated rows: one result row each.
 """
 
@@ -28,10 +28,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbol_rate", "upper_rate", "dup_line_rate", "repeat_rate", "mark_rate")
 BINS = 512
-STRATA = 16
 RISK = 0.05
 DELTA = 0.05
-OTHER = "*"
 
 FEATURES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -134,41 +132,44 @@ def bin_of(rate: Column) -> Column:
     return F.least(F.lit(BINS - 1), F.ceil(rate * (BINS - 1))).cast("int")
 
 
-def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang") -> tuple[list[str], dict[tuple[str, str], int]]:
-    """measured: id, stratum and the rates; labels: doc_id, quality. The strata with own cutoffs, and cutoffs."""
-    y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).where("_y in (0, 1)")
-    j = measured.select(F.col(id_col).alias("_id"), F.coalesce(F.col(stratum), F.lit(OTHER)).alias("_s"), *RULES).join(y, "_id")
-    j = materialize(j.select("_s", "_y", *[bin_of(F.col(r)).alias(r) for r in RULES]), "quality-labelled")
-    named = [r["_s"] for r in j.groupBy("_s").count().orderBy(F.desc("count"), "_s").limit(STRATA).collect()]
-    s = F.when(F.col("_s").isin(named), F.col("_s")).otherwise(F.lit(OTHER))
-    long = j.where("_y = 1").select(s.alias("_s"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
-    hist: dict[tuple[str, str], np.ndarray] = {}
+def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang") -> dict[tuple[str | None, str], int]:
+    """measured: id, stratum and the rates; labels: doc_id, quality. Cutoffs of every stratum with labels of good documents."""
+    y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).where("_y = 1")
+    j = measured.select(F.col(id_col).alias("_id"), F.col(stratum).alias("_s"), *[bin_of(F.col(r)).alias(r) for r in RULES]).join(y, "_id")
+    long = j.select("_s", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
+    hist: dict[tuple[str | None, str], np.ndarray] = {}
     for r in long.groupBy("_s", "x.rule", "x.bin").count().collect():
         hist.setdefault((r["_s"], r["rule"]), np.zeros(BINS, np.int64))[r["bin"]] += r["count"]
-    return named, fit_cutoffs(hist)
+    return fit_cutoffs(hist)
 
 
-def passes(named: list[str], cutoffs: dict[tuple[str, str], int], stratum: str = "lang", f: str = "") -> Column:
-    """Verdict of base rules and learned cutoffs."""
-    lang = F.coalesce(F.col(stratum), F.lit(OTHER))
-    s = F.when(lang.isin(named), lang).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
+def with_cutoffs(df: DataFrame, cutoffs: dict[tuple[str | None, str], int], stratum: str = "lang") -> DataFrame:
+    """Adds `_cuts`: the least rejected bin of each rule in the row's stratum, null where nothing was learned."""
+    cuts: dict[str | None, list[int]] = {}
+    for (name, rule), cut in cutoffs.items():
+        cuts.setdefault(name, [BINS] * len(RULES))[RULES.index(rule)] = cut
+    schema = "_stratum string, _cuts struct<" + ",".join(f"{r}:int" for r in RULES) + ">"
+    rows = df.sparkSession.createDataFrame([(k, tuple(v)) for k, v in cuts.items() if min(v) < BINS], schema)
+    return df.join(F.broadcast(rows), F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+
+
+def passes(f: str = "") -> Column:
+    """Verdict of base rules and learned cutoffs, of rows that with_cutoffs has seen."""
     ok = ~base_failed(f)
-    for (name, rule), cut in sorted(cutoffs.items()):
-        if cut < BINS:
-            ok = ok & ~((s == name) & (bin_of(F.col(f + rule)) >= cut))
+    for rule in RULES:
+        ok = ok & (bin_of(F.col(f + rule)) < F.coalesce(F.col("_cuts")[rule], F.lit(BINS)))
     return ok
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "lang", text_features(F.col("text")).alias("f")).select("doc_id", "lang", "f.*")
     d = materialize(d, "quality-features")
-    verdict = passes(*learn(d, labels))
-    return d.select("doc_id", *FEATURES.names[:5], base_failed().alias("base_failed"), verdict.alias("kept"), *RULES)
+    return with_cutoffs(d, learn(d, labels)).select("doc_id", *FEATURES.names[:5], base_failed().alias("base_failed"), passes().alias("kept"), *RULES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input rows that pass, all their columns unchanged."""
     names = docs.columns
     measured = docs.select("doc_id", "lang", text_features(F.col("text")).alias("_f")).select("doc_id", "lang", "_f.*")
-    named, cutoffs = learn(measured, labels)
-    return docs.withColumn("_f", text_features(F.col("text"))).where(passes(named, cutoffs, f="_f.")).select(*names)
+    cutoffs = learn(measured, labels)
+    return with_cutoffs(docs.withColumn("_f", text_features(F.col("text"))), cutoffs).where(passes("_f.")).select(*names)
