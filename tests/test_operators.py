@@ -60,3 +60,25 @@ def test_queue(spark):
 def test_hash_then_url(spark):
     d = spark.createDataFrame([(0, "h", "u"), (1, "h", "v"), (2, "i", "u"), (3, "j", ""), (4, "k", None)], "p int, h string, u string")
     assert sorted(r.p for r in R.dedup_hash_then_url(d, "h", "u", "p").collect()) == [0, 3, 4]
+
+
+def test_khop_over_all_suppliers(spark, tmp_path):
+    from tidewater.plans import catalogue
+
+    items = [(s, p) for s in range(1, 31) for p in ((s, 1) if s > 20 else (s + 100, s % 2 + 1))]
+    for name, rows, schema in (
+        ("nation", [(0, "N0"), (1, "N1")], "n_nationkey long, n_name string"),
+        ("supplier", [(i, f"Supplier#{i:09}", i % 2) for i in range(1, 31)], "s_suppkey long, s_name string, s_nationkey long"),
+        ("lineitem", items + items, "l_suppkey long, l_partkey long"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    edges = {(f"sn{i}", f"Supplier#{i:09}", f"N{i % 2}") for i in range(1, 31)} | {(f"ps{s}-{p}", f"part{p}", f"Supplier#{s:09}") for s, p in items}
+    for k in (1, 2, 3):
+        near, want = {"Supplier#000000001"}, set()
+        for _ in range(k):
+            step = {e for e in edges if near & {e[1], e[2]}}
+            want |= step
+            near |= {x for e in step for x in e[1:]}
+        got = catalogue.queries()[f"q40_khop_all_edges_{k}"](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert k < 3 or any(e[0].startswith("ps2") and int(e[0][2:].split("-")[0]) > 20 for e in want)
