@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -17,13 +16,8 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a folder of our own where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("tidewater.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("tidewater.scratch.dir", found)
+    """The shared folder of the cluster; where none is set, one in the warehouse, which executors share as well."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return found.rstrip("/")
 
 
@@ -59,6 +53,28 @@ def flag_keys(df: DataFrame, key: str, bitmap: DataFrame, flag: str) -> DataFram
     return joined.withColumn(flag, hit).drop("_word", "_bits")
 
 
+def join_counted(rows: DataFrame, side: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with side, which has one row a key and tells in column n how many of the rows have it.
+
+    A key of more rows than a partition has on average is joined by broadcast, so its rows stay where they are; there are
+    fewer such keys than shuffle partitions.  side is read several times and should be a written table.
+    """
+    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, most = side.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if most * parts <= total or not total:
+        return rows.join(side, on)
+    heavy = F.col(n) * parts > total
+    often = F.broadcast(side.where(heavy))
+    return rows.join(often, on).unionByName(rows.join(F.broadcast(side.where(heavy).select(*on)), on, "left_anti").join(side.where(~heavy), on))
+
+
+def integer_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long; other than whole numbers are refused, as they would turn to null."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{id_col} must be a whole number")
+    return F.col(id_col).cast("long")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 over uint64."""
     with np.errstate(over="ignore"):

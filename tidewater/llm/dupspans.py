@@ -12,9 +12,9 @@ for suffixes that the level before left in company:
      by the string that all windows of such a run share and told apart by their own cover, as above;
   4. for those buckets with a lone cover and company: the identifiers of the single windows.
 
-Counts combine before shuffles, so a string with very many copies is no hot task, and copies of one text
-count as copies.  Identifiers are 64-bit hashes.  Null and empty texts, and texts under the length: nothing is
-removed.  Repeated rows are copies of each other.  Other columns are not read.
+Counts combine before shuffles, and the rows of a very common string meet its count by broadcast, so it is no hot task; copies
+of one text count as copies.  Identifiers are 64-bit hashes.  Null and empty texts, and texts under the length: nothing is
+removed.  Repeated rows are copies of each other.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flag_keys, key_bitmap, materialize, mix64, text_key
+from .common import flag_keys, join_counted, key_bitmap, materialize, mix64, text_key
 
 LENGTH = 400
 ANCHORS = 200
@@ -154,21 +154,22 @@ def cut_rows(batches):
     """(doc_id, text, spans array<struct<lo,hi>>) -> result rows; spans are of window starts."""
     for b in batches:
         out = []
-        for doc_id, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("spans").to_pylist()):
+        for text, spans in zip(b.column("text"), b.column("spans").to_pylist()):
             raw = text.as_buffer().to_pybytes()
             gone = np.zeros(len(raw) + 1, np.int64)
             for s in spans or ():
                 gone[s["lo"]] += 1
                 gone[s["hi"] + LENGTH] -= 1
             gone = np.cumsum(gone[:-1]) > 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            starts = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0
-            out.append((doc_id, len(raw), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest()))
+            out.append((len(raw), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), ",".join(f"{i}:{j}" for i, j in edge.reshape(-1, 2))))
         c = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, c, kinds)], names=RESULT)
+
+
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
 
 
 def told_apart(d: DataFrame, rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
@@ -179,9 +180,10 @@ def told_apart(d: DataFrame, rows: DataFrame, tag: str) -> tuple[DataFrame, Data
     lone = F.col("n") == 1
     covers = rows.groupBy("bucket", "cover").agg(F.count("*").alias("n"), F.max("alone").alias("alone"), F.min(F.struct("key", "lo", "hi", "at")).alias("rep"))
     covers = materialize(covers.withColumn("alone", F.col("alone") & lone), tag + "-covers")
-    spans = rows.where("alone").join(covers.where("n > 1").select("bucket", "cover"), ["bucket", "cover"]).select("key", "lo", "hi")
-    mixed = covers.groupBy("bucket").agg(F.count("*").alias("m"), F.max("alone").alias("alone")).where("m > 1 and alone").select("bucket")
-    todo = covers.join(materialize(mixed, tag + "-mixed"), "bucket").select("rep.key", F.struct("rep.lo", "rep.hi", "rep.at", "alone").alias("t"))
+    again = materialize(covers.where("n > 1").select("bucket", "cover", "n"), tag + "-again")
+    spans = join_counted(rows.where("alone"), again, ["bucket", "cover"]).select("key", "lo", "hi")
+    mixed = covers.groupBy("bucket").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone").select("bucket", "n")
+    todo = join_counted(covers.drop("n"), materialize(mixed, tag + "-mixed"), ["bucket"]).select("rep.key", F.struct("rep.lo", "rep.hi", "rep.at", "alone").alias("t"))
     todo = materialize(todo.groupBy("key").agg(F.collect_list("t").alias("todo")), tag + "-todo")
     near = flag_keys(d.select("key", "text"), "key", key_bitmap(todo, "key"), "maybe").where("maybe").drop("maybe")
     return spans, near.dropDuplicates(["key"]).join(todo, "key").select("key", "text", "todo")
@@ -190,27 +192,28 @@ def told_apart(d: DataFrame, rows: DataFrame, tag: str) -> tuple[DataFrame, Data
 def repeated_windows(d: DataFrame) -> DataFrame:
     """d (text, key) -> (key, spans array<struct<lo,hi>>): runs of window starts whose window occurs again."""
     rows = materialize(d.select("text", "key").mapInArrow(suffix_rows, "bucket long, cover long, key long, lo int, hi int, at int"), "dup-suffixes")
-    many = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = materialize(rows.join(many, "bucket").withColumn("alone", F.lit(True)), "dup-company")
+    many = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
+    rows = materialize(join_counted(rows, many, ["bucket"]).drop("n").withColumn("alone", F.lit(True)), "dup-company")
     spans, near = told_apart(d, rows, "dup-level-2")
     runs = materialize(near.mapInArrow(run_rows, "bucket long, cover long, key long, lo int, hi int, at int, alone boolean"), "dup-runs")
     more, near = told_apart(d, runs, "dup-level-3")
     spans = spans.unionByName(more)
     wins = materialize(near.mapInArrow(window_rows, "window long, key long, at int, alone boolean"), "dup-windows")
-    twice = wins.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = wins.where("alone").join(twice, "window").select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    twice = materialize(wins.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "dup-twice")
+    single = join_counted(wins.where("alone"), twice, ["window"]).select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
     every = spans.unionByName(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return materialize(every, "dup-spans")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each input row."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), a row for each input row; spans has start:end of the removed runs, in bytes."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     spans = repeated_windows(d)
     flagged = flag_keys(d, "key", key_bitmap(spans, "key"), "maybe")
-    whole = flagged.where(~F.col("maybe")).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
-    )
-    part = flagged.where("maybe").join(spans, "key", "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    zero = F.lit(0).cast("long")
+    size = F.octet_length("text").cast("long")
+    whole = flagged.where(~F.col("maybe")).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit("").alias("spans"))
+    copies = materialize(flagged.where("maybe").groupBy("key").agg(F.count("*").alias("n")).join(spans, "key", "left"), "dup-copies")
+    part = join_counted(flagged.where("maybe"), copies, ["key"]).select("doc_id", "text", "spans")
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     return whole.unionByName(part.mapInArrow(cut_rows, schema))
