@@ -9,7 +9,8 @@ Paragraphs are lines, and blocks of several lines between blank lines as well, s
 one; a block is reported for a family that none of its lines shows, in place of its `unknown` lines.  Skipped unseen is
 only what cannot be confirmed for any family, as it holds too few words of every template, and has no sign of a
 license either: neither a cue nor, for two words and half of all at least, words of licenses' names that each alone speak for one.  Without such a sign nothing
-is `unknown`.  n_paragraphs counts lines.  Null and empty texts: no paragraph.  Repeated rows: one result row each.
+is `unknown`.  One pass of an automaton over the text finds the lines that can pass this test: of every template it knows
+so many words that no paragraph without one of them reaches its share.  n_paragraphs counts lines.  Null and empty texts: no paragraph.  Repeated rows: one result row each.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
@@ -49,6 +51,8 @@ SHARE = 0.6  # of a template's words, in order
 _TOKEN = re.compile(r"[a-z0-9.]*[a-z0-9]", re.I)
 _PLAIN = "the of and to in is that for it with as was on be at by this have from or one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know get through back much before go good new write our used me man too any day same right look think also around another came come work three word must because does part even place well such here take why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something thought both few those always show large often together asked house don world going want school important until form food keep children feet land side without boy once animal life enough took four head above kind began almost live page got earth need far hand high year mother light country father let night picture being study second soon story since white ever paper hard near sentence better best across during today however sure knew try told young sun thing whole hear example heard several change answer room sea against top turned learn point city play toward five himself usually money seen car morning permission license copyright reserved version software".split()
 
+_MENTIONS = "rights permission permitted license licensed copyright warranty public free terms source reserved law author".split()
+
 
 def words(text: str) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text.replace("-", " "))]
@@ -66,8 +70,12 @@ def variations(seed: int, each: int) -> list[tuple[list[str], int]]:
     out = []
     noise = lambda k: list(r.choice(_PLAIN, k))
     for y, f in enumerate(FAMILIES):
-        if f == NONE:
-            out += [(noise(r.integers(1, 40)), y) for _ in range(8 * each)]
+        if f == NONE:  # half of them with words that licenses use too
+            for i in range(8 * each):
+                ws = noise(r.integers(1, 40))
+                for _ in range(r.integers(1, 3) if i % 2 and len(ws) > 3 else 0):
+                    ws.insert(r.integers(0, len(ws)), str(r.choice(_MENTIONS)))
+                out.append((ws, y))
             continue
         for i in range(each):
             t = words(TEMPLATES[f][i % len(TEMPLATES[f])])
@@ -141,6 +149,53 @@ def telling() -> frozenset[str]:
     return frozenset(t for t in names.difference(_PLAIN) if softmax(w[features([t])].sum(0) + b)[0] < 0.5)
 
 
+def needed_words() -> set[str]:
+    """Words one of which stands in every paragraph that is within reach: of each template the longest of its words, until the others are too few."""
+    out: set[str] = set()
+    for c, need in zip(_COUNTS, _NEED):
+        rest = c.total()
+        for w in sorted(c, key=lambda w: (w in _PLAIN, -len(w), w)):
+            if rest < need - 1e-9:
+                break
+            out.add(w)
+            rest -= c[w]
+    return out
+
+
+# What every match of CUE holds, lower-cased, other signs than letters, digits and points as spaces.
+CUE_PARTS = ["licens", "licenc", "copyright", "warrant", "permission", "permitted", "rights", "public domain", "creative commons", "spdx", "redistribut", " ccby", " cc by", " cc0", " cc 0", "proprietary", "free software"]
+_PLAINLY = bytes(c if chr(c).islower() or chr(c).isdigit() or c in b".\n" else c + 32 if 65 <= c <= 90 else 32 for c in range(128)) + b" " * 128
+
+
+@lru_cache(1)
+def gate() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in {*needed_words(), *telling()}:
+        for end in (" ", "."):  # whole words
+            found.add_word(f" {w}{end}")
+    for w in CUE_PARTS:
+        found.add_word(w)
+    found.make_automaton()
+    return found
+
+
+def lines_to_see(text: str) -> set[int] | None:
+    """Numbers of the lines that can hold a license; None: all."""
+    if "\u017f" in text or "\u212a" in text:  # letters that stand for s and k where case doesn't count
+        return None
+    plain = text.encode("utf-8", "surrogatepass").translate(_PLAINLY).decode("ascii")
+    plain = " " + plain.replace("\n", " \n ") + " "
+    out, line, last, end = set(), 0, 0, -1
+    for at, _ in gate().iter(plain):
+        if at > end:
+            line += plain.count("\n", last, at)
+            out.add(line)
+            last, end = at, plain.find("\n", at)
+            if end < 0:
+                break
+    return out
+
+
 def classify(model, paragraph: str) -> tuple[str, float]:
     """(family, probability): NONE, a family, or UNKNOWN."""
     w, b, cut = model
@@ -160,6 +215,9 @@ def classify(model, paragraph: str) -> tuple[str, float]:
 
 def hits_of(model, text: str, known: dict) -> tuple[int, list[dict]]:
     """(number of lines with text, hits in order)."""
+    seen = lines_to_see(text)
+    if seen is not None and not seen:
+        return sum(bool(line.strip()) for line in text.split("\n")), []
     at, n, hits, block = 0, 0, [], []
 
     def one(paragraph: str, start: int, end: int) -> dict | None:
@@ -171,8 +229,9 @@ def hits_of(model, text: str, known: dict) -> tuple[int, list[dict]]:
         return None if family == NONE else {"family": family, "start": start, "end": end, "score": round(score, 6)}
 
     def close():
-        found = [h for s, e in block if (h := one(text[s:e], s, e))]
-        if len(block) > 1:
+        near = [(s, e) for s, e, to_see in block if to_see]
+        found = [h for s, e in near if (h := one(text[s:e], s, e))]
+        if len(block) > 1 and near:
             s, e = block[0][0], block[-1][1]
             family, score = classify(model, text[s:e])
             if family not in (NONE, UNKNOWN) and family not in {h["family"] for h in found}:
@@ -180,10 +239,10 @@ def hits_of(model, text: str, known: dict) -> tuple[int, list[dict]]:
         hits.extend(sorted(found, key=lambda h: h["start"]))
         block.clear()
 
-    for line in text.split("\n"):
+    for i, line in enumerate(text.split("\n")):
         if line.strip():
             n += 1
-            block.append((at, at + len(line)))
+            block.append((at, at + len(line), seen is None or i in seen))
         else:
             close()
         at += len(line) + 1
