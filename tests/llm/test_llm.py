@@ -191,6 +191,13 @@ def test_lm_reads_order(spark):
     for i in held:
         (base_a, a), (base_b, b) = got[i]
         assert base_a == base_b and abs(a - b) > 10
+        assert max(a, b) > base_a  # fluent text costs fewer bits than by the counted base
+
+
+def test_lm_is_the_same_however_dealt(spark, docs):
+    got = [table(lmscore.score_texts(docs.repartition(n)), "doc_id", "n_tokens", "score") for n in (1, 7)]
+    for a, b in zip(*got):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6
 
 
 def test_quality(spark, docs, rows):
