@@ -227,7 +227,8 @@ def test_quality_of_many_languages(spark):
     text = {f"l{i:02}": clean for i in range(16)} | {"s1": loud, "s2": clean, None: clean}
     n = {lang: 700 if lang == "s1" else 800 for lang in text}
     data = [(lang, t) for lang, t in text.items() for _ in range(n[lang])]
-    docs = [(i, lang, t) for i, (lang, t) in enumerate(data)]
+    own = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05}")  # noqa: E731  a text counts once, so each has a word of its own
+    docs = [(i, lang, f"{t} {own(i).upper() if t == loud else own(i)}") for i, (lang, t) in enumerate(data)]
     extra = [(-1, "unlabelled", loud), (-2, "s2", loud), (-3, None, loud)]
     labels = spark.createDataFrame([(i, 1) for i, _, _ in docs], "doc_id long, quality int")
     d = spark.createDataFrame(docs + extra, "doc_id long, lang string, text string").repartition(3)
@@ -355,4 +356,40 @@ def test_pipeline(spark, tmp_path, rows):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in out]
-    assert 45 not in ids and 6 in ids and not {7, 8, 9} & set(ids) and 5 not in ids
+    assert 45 not in ids and 6 in ids and not {8, 9} & set(ids) and 5 not in ids  # 7 is the id of an unlike text too
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    r = random.Random(3)
+    a = [f"w{r.randrange(500)}" for _ in range(100)]
+    near = " ".join([*a[:99], "end"])
+    other = " ".join(f"v{r.randrange(500)}" for _ in range(60))
+    docs = spark.createDataFrame([(1, " ".join(a)), (7, near), (7, other), (9, near), (None, other)], "doc_id long, text string")
+    assert table(ngram_join.one_of_each(docs), "doc_id", "text") == sorted([(1, " ".join(a)), (7, other), (None, other)], key=repr)
+
+
+def test_columns_of_any_name_stay(spark, rows):
+    names = ["_f", "_key", "_matches", "_m0", "matches", "features", "cuts", "text_key", "key", "matches_of_block0"]
+    docs = spark.createDataFrame([(*r[:5], *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    labels, items = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, rows[45][1])], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels), ngram_join.one_of_each(docs), decontam.drop_contaminated(docs, items), pii.redact(docs)):
+        assert out.columns == docs.columns
+        assert all(tuple(x[n] for n in names) == tuple(range(len(names))) for x in out.collect())
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(700_000))
+    docs = spark.createDataFrame([(1, long), (2, long[:-7]), (3, "short")], SCHEMA.split(", lang")[0])
+    got = {x.doc_id: x for x in dupspans.cut_repeats(docs).collect()}
+    assert got[1].n_removed > 4_800_000 and got[3].n_removed == 0
+    assert {x.doc_id: x.component_id for x in ngram_join.near_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert all(math.isfinite(x.score) for x in lmscore.score_texts(docs).collect())
+
+
+def test_ids_are_whole_numbers(spark):
+    docs = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    for f in (lmscore.score_texts, ngram_join.near_components):
+        with pytest.raises(TypeError):
+            f(docs)
+    assert dupspans.cut_repeats(docs).first().doc_id == "a"

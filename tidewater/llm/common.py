@@ -75,6 +75,14 @@ def integer_id(docs: DataFrame, id_col: str) -> Column:
     return F.col(id_col).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 over uint64."""
     with np.errstate(over="ignore"):

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import fresh, mix64
 
 Q = 12
 BUDGET = 0.05
@@ -180,8 +180,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches",
     out, parts = docs, []
     for n, block in enumerate(blocks(benchmark, item_id, item_text)):
         find = finder(docs.sparkSession.sparkContext.broadcast(Index(block)))
-        out = out.withColumn(f"_m{n}", find(F.col(text_col)))
-        parts.append(f"_m{n}")
+        parts.append(fresh(out, f"matches_of_block{n}"))
+        out = out.withColumn(parts[-1], find(F.col(text_col)))
     every = F.concat(*[F.col(p) for p in parts]) if parts else F.array().cast(MATCHES)
     return out.withColumn(column, every).drop(*parts)
 
@@ -195,4 +195,5 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The input rows in which no item occurs, all their columns unchanged."""
-    return with_matches(docs, benchmark, "_matches").where(F.size("_matches") == 0).drop("_matches")
+    found = fresh(docs, "matches")
+    return with_matches(docs, benchmark, found).where(F.size(found) == 0).select(*docs.columns)

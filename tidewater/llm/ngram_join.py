@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, flag_keys, key_bitmap, materialize, mix64, text_key
+from .common import components, flag_keys, fresh, integer_id, key_bitmap, materialize, mix64, text_key
 
 WORDS = 5
 NUM, DEN = 4, 5  # the threshold 0.8
@@ -65,7 +65,7 @@ def shingles(text: str | None, known: Hashes) -> np.ndarray:
 
 
 class CommonBits:
-    """Which shingle hashes may be common: a bitmap of 2**22 bits from key_bitmap rows."""
+    """Which shingle hashes may be common: a bitmap of 2**24 bits from key_bitmap rows."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.bits = np.zeros(1 << 24, bool)
@@ -365,10 +365,10 @@ def probe_links(held):
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each input row."""
+def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, n, component_id, stays), a row for each input row; stays: key of the component's text with its least id."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
+    d = docs.select(integer_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     sample = d.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(SAMPLE)) == 0).select("text", "key")
@@ -420,18 +420,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(materialize(edges.distinct(), "join-edges"), "join-cc")
     by_text = heads.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     by_text = materialize(by_text.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "low", F.coalesce("root", "key").alias("root")), "join-roots")
-    least = materialize(by_text.groupBy("root").agg(F.min("low").alias("component_id")), "join-least")
-    final = materialize(by_text.join(least, "root").select("key", "component_id"), "join-final")
+    first = F.min(F.struct(F.coalesce("low", F.lit(2**63 - 1)), "key"))["key"]
+    least = materialize(by_text.groupBy("root").agg(F.min("low").alias("component_id"), first.alias("stays")), "join-least")
+    final = materialize(by_text.join(least, "root").select("key", "component_id", "stays"), "join-final")
     out = heads.join(final, "key", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "stays")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each input row. Ids are whole numbers; an empty table gives an empty result; other columns are not read."""
+    return classed(docs, id_col, text_col).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The input rows whose doc_id is the smallest of its component, one of equal rows, all columns unchanged.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that hold the text with the smallest id of its component, one of equal rows, all columns unchanged.
 
-    Rows without a doc_id stay, but for repeats of one text.
+    A row is judged by its id and its text, so rows that share an id but not a text are judged apart; of several texts
+    of a component with its smallest id one stays.  Rows without an id stay, but for repeats of one text.
     """
-    names = docs.columns
-    gone = near_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(materialize(gone, "join-gone"), "doc_id", "left_anti").select(*names)
-    return out.withColumn("_key", text_key(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    key = fresh(docs, "text_key")
+    seen = classed(docs, id_col, text_col)
+    gone = seen.where("n > 0 and (doc_id <> component_id or key <> stays)").select(F.col("doc_id").alias(id_col), F.col("key").alias(key)).distinct()
+    out = docs.withColumn(key, text_key(F.col(text_col)))
+    return out.join(materialize(gone, "join-gone"), [id_col, key], "left_anti").dropDuplicates([id_col, key]).select(*docs.columns)

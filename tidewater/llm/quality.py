@@ -8,8 +8,9 @@ no stratum loses more than `risk` of its good documents to all rules together.
 are histograms over all labelled documents, at most strata x rules x BINS rows; cutoffs are joined by stratum.
 
 Null or empty text: no words, base_failed.  Null languages are a stratum of their own.  A stratum without
-labels, or with too few for any bound, has no learned cutoff: only the base rules reject there.  Labels of other values than 0 and 1
-are ignored; several labels of a document each count.  Repeated rows: one result row each.
+labels, or with too few for any bound, has no learned cutoff: only the base rules reject there.  A text counts once in its stratum,
+however many copies and labels it has, and is good if none of its labels is 0; labels of other values than 0 and 1 are ignored.
+Repeated rows: one result row each.  An empty table gives an empty result; without labels nothing is learned.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64
+from .common import fresh, materialize, mix64, text_key
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -133,9 +134,10 @@ def bin_of(rate: Column) -> Column:
 
 
 def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang") -> dict[tuple[str | None, str], int]:
-    """measured: id, stratum and the rates; labels: doc_id, quality. Cutoffs of every stratum with labels of good documents."""
-    y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y")).where("_y = 1")
-    j = measured.select(F.col(id_col).alias("_id"), F.col(stratum).alias("_s"), *[bin_of(F.col(r)).alias(r) for r in RULES]).join(y, "_id")
+    """measured: id, stratum, key of the text and the rates; labels: doc_id, quality. Cutoffs of every stratum with labels of good documents."""
+    y = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"))
+    j = measured.select(F.col(id_col).alias("_id"), F.col(stratum).alias("_s"), "key", *[bin_of(F.col(r)).alias(r) for r in RULES]).join(y, "_id")
+    j = j.groupBy("_s", "key").agg(F.min("_y").alias("_y"), *[F.first(r).alias(r) for r in RULES]).where("_y = 1")
     long = j.select("_s", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
     hist: dict[tuple[str | None, str], np.ndarray] = {}
     for r in long.groupBy("_s", "x.rule", "x.bin").count().collect():
@@ -143,33 +145,34 @@ def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratu
     return fit_cutoffs(hist)
 
 
-def with_cutoffs(df: DataFrame, cutoffs: dict[tuple[str | None, str], int], stratum: str = "lang") -> DataFrame:
-    """Adds `_cuts`: the least rejected bin of each rule in the row's stratum, null where nothing was learned."""
+def with_cutoffs(df: DataFrame, cutoffs: dict[tuple[str | None, str], int], column: str, stratum: str = "lang") -> DataFrame:
+    """df and the least rejected bin of each rule in the row's stratum, null where nothing was learned."""
     cuts: dict[str | None, list[int]] = {}
     for (name, rule), cut in cutoffs.items():
         cuts.setdefault(name, [BINS] * len(RULES))[RULES.index(rule)] = cut
-    schema = "_stratum string, _cuts struct<" + ",".join(f"{r}:int" for r in RULES) + ">"
+    of = fresh(df, "stratum_of_cuts")
+    schema = f"{of} string, {column} struct<" + ",".join(f"{r}:int" for r in RULES) + ">"
     rows = df.sparkSession.createDataFrame([(k, tuple(v)) for k, v in cuts.items() if min(v) < BINS], schema)
-    return df.join(F.broadcast(rows), F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+    return df.join(F.broadcast(rows), F.col(stratum).cast("string").eqNullSafe(F.col(of)), "left").drop(of)
 
 
-def passes(f: str = "") -> Column:
+def passes(cuts: str, f: str = "") -> Column:
     """Verdict of base rules and learned cutoffs, of rows that with_cutoffs has seen."""
     ok = ~base_failed(f)
     for rule in RULES:
-        ok = ok & (bin_of(F.col(f + rule)) < F.coalesce(F.col("_cuts")[rule], F.lit(BINS)))
+        ok = ok & (bin_of(F.col(f + rule)) < F.coalesce(F.col(cuts)[rule], F.lit(BINS)))
     return ok
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", "lang", text_features(F.col("text")).alias("f")).select("doc_id", "lang", "f.*")
+    d = docs.select("doc_id", "lang", text_key(F.col("text")).alias("key"), text_features(F.col("text")).alias("f")).select("doc_id", "lang", "key", "f.*")
     d = materialize(d, "quality-features")
-    return with_cutoffs(d, learn(d, labels)).select("doc_id", *FEATURES.names[:5], base_failed().alias("base_failed"), passes().alias("kept"), *RULES)
+    return with_cutoffs(d, learn(d, labels), "cuts").select("doc_id", *FEATURES.names[:5], base_failed().alias("base_failed"), passes("cuts").alias("kept"), *RULES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input rows that pass, all their columns unchanged."""
-    names = docs.columns
-    measured = docs.select("doc_id", "lang", text_features(F.col("text")).alias("_f")).select("doc_id", "lang", "_f.*")
+    f, cuts = fresh(docs, "features"), fresh(docs, "cuts")
+    measured = docs.select("doc_id", "lang", text_key(F.col("text")).alias("key"), text_features(F.col("text")).alias("f")).select("doc_id", "lang", "key", "f.*")
     cutoffs = learn(measured, labels)
-    return with_cutoffs(docs.withColumn("_f", text_features(F.col("text"))), cutoffs).where(passes("_f.")).select(*names)
+    return with_cutoffs(docs.withColumn(f, text_features(F.col("text"))), cutoffs, cuts).where(passes(cuts, f + ".")).select(*docs.columns)
