@@ -12,7 +12,7 @@ from tidewater.operators import state as Q
 
 def test_filter_config_falls_back_part_by_part():
     c = X.FilterConfig.of({"cameo_filter": {"mode": "odd", "codes": ["1"]}, "goldstein": {"min_abs_value": -1}, "mentions": 3})
-    assert (c.mode, c.codes, c.min_abs, c.min_count) == ("prefix_match", ("1",), 5.0, 3)
+    assert (c.mode, c.codes, c.min_abs, c.min_count) == ("prefix_match", ("1",), 5.0, 5)
 
 
 def test_codes(spark):
@@ -79,6 +79,6 @@ def test_khop_over_all_suppliers(spark, tmp_path):
             step = {e for e in edges if near & {e[1], e[2]}}
             want |= step
             near |= {x for e in step for x in e[1:]}
-        got = catalogue.queries()[f"q40_khop_all_edges_{k}"](spark, str(tmp_path)).collect()
+        got = catalogue.queries()[f"q40_khop_edges_{k}"](spark, str(tmp_path)).collect()
         assert sorted(map(tuple, got)) == sorted(want)
         assert k < 3 or any(e[0].startswith("ps2") and int(e[0][2:].split("-")[0]) > 20 for e in want)

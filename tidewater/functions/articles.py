@@ -97,7 +97,7 @@ def _long(text: Column) -> Column:
 def from_state(html: Column) -> Column:
     """K-02: text of the page's embedded state, tags removed; null below LEAST characters, without or with bad state."""
     text = _state(F.trim(F.regexp_extract(html, STATE, 1)))
-    return _long(F.when(F.contains(text, F.lit("<")), S.strip_html(text)).otherwise(text))
+    return _long(F.when(F.contains(text, F.lit("<")), S.strip_tags(text)).otherwise(text))
 
 
 def from_linked(html: Column) -> Column:

@@ -155,8 +155,13 @@ def locations(text: Column) -> Column:
 
 
 def describe_theme(code: Column) -> Column:
-    """S-22."""
-    return F.initcap(F.replace(code, F.lit("_"), F.lit(" ")))
+    """S-22: the name of the longest known prefix, then the rest in title case."""
+    plain = lambda c: F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+    out = plain(code)
+    for prefix, name in sorted(vocab.THEME_PREFIXES.items(), key=lambda x: len(x[0])):  # the longest is asked last, so first
+        rest = F.substr(code, F.lit(len(prefix) + 1))
+        out = F.when(F.startswith(code, F.lit(prefix)), F.when(rest == "", name).otherwise(F.concat(F.lit(name + " - "), plain(rest)))).otherwise(out)
+    return out
 
 
 def edge_type(name: Column) -> Column:
@@ -304,3 +309,8 @@ def china_time(text: Column) -> Column:
 def iso(ts: Column) -> Column:
     """D-09: one 'Z', unlike quirk Q5."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_epoch(value: Column) -> Column:
+    """D-07: a timestamp of seconds, or of milliseconds from 100 billion on."""
+    return F.when(value >= 100_000_000_000, F.timestamp_millis(value)).otherwise(F.timestamp_seconds(value))

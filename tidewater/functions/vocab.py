@@ -59,3 +59,17 @@ FACT_PATTERNS = [
     ("TRIGGERS", [r"\bcaused\b", r"\bled\s+to\b", r"\btriggered?\b", r"\bsparked?\b", r"\bresulted\s+in\b", r"\bprecipitated?\b"]),
     ("HAPPENED_IN", [r"\bhappened\s+in\b", r"\boccurred\s+in\b", r"\btook\s+place\s+in\b", r"\bis\s+located\s+in\b", r"\bwas\s+located\s+in\b"]),
 ]
+
+# Names of theme prefixes.
+THEME_PREFIXES = {
+    "WB_": "World Bank",
+    "TAX_": "Taxonomy",
+    "EPU_": "Economic Policy Uncertainty",
+    "CRISISLEX_": "CrisisLex",
+    "SOC_": "Social",
+    "UNGP_": "UN Guiding Principles",
+    "USPEC_": "US Political/Economic",
+    "GENERAL_": "General",
+    "MEDIA_": "Media",
+    "MANMADE_DISASTER": "Manmade Disaster",
+}

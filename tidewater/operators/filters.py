@@ -16,9 +16,9 @@ class FilterConfig:
     """F-05: wrong or missing parts of a given dict fall back to these, part by part."""
 
     mode: str = "prefix_match"
-    codes: tuple[str, ...] = field(default=("10", "11", "12", "13", "14", "15", "16", "17", "18", "19", "20"))
+    codes: tuple[str, ...] = field(default=("14", "16", "17", "18", "19", "20"))
     min_abs: float = 5.0
-    min_count: int = 3
+    min_count: int = 5
     max_urls: int = 3
 
     @classmethod
@@ -103,3 +103,24 @@ def blocked_page(status: Column, html: Column) -> Column:
 def in_replay_range(ts: Column, since: Column, until: Column) -> Column:
     """F-20: until is a day and counts whole (quirk Q13)."""
     return (ts >= since) & (ts < until + F.expr("interval 1 day"))
+
+
+def present(value: Column) -> Column:
+    """F-13: neither null nor NaN."""
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
+def written_already(episodes: DataFrame, written: DataFrame, body_hash: str, name: str) -> DataFrame:
+    """F-18: rows whose hash's first 12 signs end the name of a written episode."""
+    tails = written.select(F.right(F.col(name), F.lit(12)).alias("_tail")).distinct()
+    return episodes.withColumn("_tail", F.left(F.col(body_hash), F.lit(12))).join(tails, "_tail", "left_semi").drop("_tail")
+
+
+def unclassified(severity: Column) -> Column:
+    """F-19: no severity, an empty one or the default."""
+    return severity.isNull() | severity.isin("", "medium")
+
+
+def has_control(text: Column) -> Column:
+    """F-21: control signs other than tab and line ends."""
+    return F.coalesce(F.rlike(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")), F.lit(False))

@@ -93,8 +93,9 @@ def error_streaks(df: DataFrame, key: str, at: list, ok: str) -> DataFrame:
     return d.select(key, "runs", "errors", "streak", status.alias("status"))
 
 
-def keyword_counts(df: DataFrame, key: str, text: Column, n: int = 8, least: int = 3) -> DataFrame:
-    """A-10: most frequent words, ties by first occurrence, stop words out."""
+def keyword_counts(df: DataFrame, key: str, text: Column, n: int = 8, least: int = 3, title: Column | None = None) -> DataFrame:
+    """A-10: most frequent words, ties by first occurrence, stop words out; words of a title count twice."""
+    text = text if title is None else F.concat_ws(" ", title, title, text)
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z\\u4e00-\\u9fff]{%d,}" % least), F.lit(0))
     d = df.select(key, F.posexplode(words).alias("pos", "word")).where(~F.col("word").isin(vocab.STOP_WORDS))
     d = d.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
@@ -148,3 +149,17 @@ def pack(df: DataFrame, key: str, order: str, size: str, most_rows: int = 8, bud
 
     packed = df.groupBy(key).agg(items.alias("i")).select(key, F.explode(F.aggregate("i", zero, step, lambda a: a["out"])).alias("x"))
     return packed.select(key, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
+
+
+def first_severity(df: DataFrame, sectors: str, severity: str, order: list[str], default: str = "综合") -> DataFrame:
+    """A-09: (sector, level): the severity of each sector's first row; rows without sectors count for the default one."""
+    named = F.when(F.coalesce(F.size(sectors), F.lit(0)) > 0, F.col(sectors)).otherwise(F.array(F.lit(default)))
+    d = df.select(F.explode(named).alias("sector"), severity, *order)
+    return d.groupBy("sector").agg(F.min_by(severity, F.struct(*order)).alias("level"))
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame, episodes: DataFrame, created: str, now: Column) -> DataFrame:
+    """A-19: (what, n) for nodes, relations, and episodes created since midnight of `now`."""
+    n = lambda d, what: d.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    today = episodes.where(F.col(created) >= F.date_trunc("day", now))
+    return n(nodes, "nodes").union(n(edges, "relations")).union(n(today, "episodes_today"))

@@ -93,14 +93,15 @@ def read_curve(spark: SparkSession, path: str) -> DataFrame:
     return d.where(F.col("fetch_time").isNotNull() & (F.size("term_rates") > 0)).orderBy(F.desc("fetch_time"))
 
 
-def read_sanctions(spark: SparkSession, names: str, addresses: str) -> DataFrame:
-    """IO-11, IO-12, J-04: entities by number with programs and the first real country."""
+def read_sanctions(spark: SparkSession, names: str, addresses: str, most: int = 3000) -> DataFrame:
+    """IO-11, IO-12, J-04: the last `most` entities, the last first, with programs and the first real country."""
     n = spark.read.schema("ent_num string, name string, kind string, program string, " + ", ".join(f"x{i} string" for i in range(8))).csv(names)
-    n = n.where(F.rlike("ent_num", F.lit("^[0-9]+$")) & (F.coalesce("name", F.lit("")) != ""))
+    n = n.withColumn("line", F.monotonically_increasing_id()).where(F.rlike("ent_num", F.lit("^[0-9]+$")) & (F.coalesce("name", F.lit("")) != ""))
+    n = n.orderBy(F.desc("line")).limit(most)
     a = spark.read.schema("ent_num string, add_num string, address string, city string, country string, remarks string").csv(addresses)
     a = a.withColumn("line", F.monotonically_increasing_id()).where("trim(country) not in ('-0-', '')")
     a = a.groupBy("ent_num").agg(F.min_by(F.trim("country"), "line").alias("country"))
-    d = n.join(a, "ent_num", "left")
+    d = n.join(a, "ent_num", "left").orderBy(F.desc("line"))
     return d.select("ent_num", "name", S.target_type(F.col("kind")).alias("target_type"), S.programs(F.col("program")).alias("programs"), F.coalesce("country", F.lit("")).alias("country"))
 
 
