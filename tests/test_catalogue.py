@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidewater.plans import catalogue
+from tidewater.plans import registry as catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()

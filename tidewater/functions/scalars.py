@@ -140,7 +140,7 @@ def weight(severity: Column) -> Column:
 
 def persons(text: Column) -> Column:
     """S-17: ';' list without blank items and items that hold '#'."""
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda s: (s != "") & ~F.contains(s, F.lit("#")))
+    return F.filter(F.transform(F.split(text, ";"), lambda s: F.trim(s)), lambda s: (s != "") & ~F.contains(s, F.lit("#")))
 
 
 def locations(text: Column) -> Column:
@@ -148,7 +148,7 @@ def locations(text: Column) -> Column:
 
     def name(part):
         full = F.get(F.split(part, "#"), F.lit(3))
-        bits = F.transform(F.split(full, ","), F.trim)
+        bits = F.transform(F.split(full, ","), lambda s: F.trim(s))
         return F.when(F.size(bits) >= 3, F.concat(F.get(bits, F.lit(0)), F.lit(", "), F.element_at(bits, -1))).otherwise(F.trim(full))
 
     return F.filter(F.transform(F.split(text, r"\|"), name), lambda s: s.isNotNull() & (s != ""))
@@ -219,7 +219,7 @@ def episode_name(source: Column, valid_at: Column, group: Column, digest: Column
 
 def first_line(body: Column, most: int = 200) -> Column:
     """S-34: the first line that isn't blank."""
-    return F.left(F.get(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda s: s != ""), F.lit(0)), F.lit(most))
+    return F.left(F.get(F.filter(F.transform(F.split(body, "\n"), lambda s: F.trim(s)), lambda s: s != ""), F.lit(0)), F.lit(most))
 
 
 def entity_type(labels: Column, ticker: Column) -> Column:
@@ -314,3 +314,29 @@ def iso(ts: Column) -> Column:
 def from_epoch(value: Column) -> Column:
     """D-07: a timestamp of seconds, or of milliseconds from 100 billion on."""
     return F.when(value >= 100_000_000_000, F.timestamp_millis(value)).otherwise(F.timestamp_seconds(value))
+
+
+def seconds_of(text: Column) -> Column:
+    """M-04: seconds of '250ms', '3s', '1.5m' or '1h', of a bare number as well; null for other text."""
+    shape = r"(?i)^\s*([0-9]+(?:\.[0-9]+)?)\s*(ms|s|m|h)?\s*$"
+    n, unit = F.regexp_extract(text, shape, 1).try_cast("double"), F.lower(F.regexp_extract(text, shape, 2))
+    return F.when(unit == "ms", n / 1000).when(unit == "m", n * 60).when(unit == "h", n * 3600).otherwise(n)
+
+
+def event_id(uid: Column, now: Column) -> Column:
+    """S-33: the day of now at UTC+8 and the first three signs of the id without '-'; ids of one day can collide (quirk Q6)."""
+    day_there = F.date_format(F.from_utc_timestamp(now, "+08:00"), "yyyyMMdd")
+    return F.concat(F.lit("evt-"), day_there, F.lit("-"), F.upper(F.left(F.replace(uid, F.lit("-"), F.lit("")), F.lit(3))))
+
+
+def summary_of(body: Column, least: int = 10, most: int = 500) -> Column:
+    """S-34: what follows the first line that isn't blank, stripped, if it is longer than `least`."""
+    text = F.regexp_replace(body, r"^\s+", "")
+    after = F.when(F.contains(text, F.lit("\n")), F.substr(text, F.instr(text, F.lit("\n")) + 1))
+    rest = F.regexp_replace(after, r"^\s+|\s+$", "")
+    return F.when(F.length(rest) > least, F.left(rest, F.lit(most)))
+
+
+def signature(request: Column) -> Column:
+    """S-31: md5 of the hexadecimal sha1."""
+    return F.md5(F.sha1(request))

@@ -6,9 +6,7 @@ episode x entity rows, nation, supplier and customer for entities.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import articles as A
@@ -17,34 +15,12 @@ from ..operators import filters as X
 from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import state as Q
+from .registry import folder, q
+from .registry import table as _t
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
 NOW = "2024-01-31 00:00:00"
 
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def q(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
-
-
 def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
@@ -541,12 +517,9 @@ def q57_leak_truncate(spark, sf):
 @q("select sha256(text) as content_hash, min(lang) as lang from documents group by 1")
 def q58_stream_dedup_available_now(spark, sf):
     """§2.11: a file stream run to its end gives the rows of the batch form."""
-    import uuid
-
     from ..streaming.landing import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    base = f"{base.rstrip('/')}/landing-{uuid.uuid4().hex}"
+    base = folder(spark, "landing")
     d = _t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("lang").alias("lang"))
     both = d.union(d)  # everything lands twice
     both.write.parquet(f"{base}/in")

@@ -66,11 +66,16 @@ def read_manifest(spark: SparkSession, path: str) -> list[str]:
     return [x[2] for x in lines]
 
 
+def split_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """IO-03: events, and the rows whose date can't be read, all their fields as text."""
+    d = _tsv(spark, path, EVENT_COLUMNS, 61).withColumn("_day", S.day(F.col("event_date")))
+    good = d.where("_day is not null").withColumns({c: S.safe_double(F.col(c)) for c in ("goldstein_scale", "avg_tone", "lat", "lon")} | {"event_date": F.col("_day")})
+    return good.drop("_day"), d.where("_day is null").drop("_day")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """IO-01 to IO-04: 61 columns; rows with a bad date go."""
-    d = _tsv(spark, path, EVENT_COLUMNS, 61)
-    d = d.withColumns({c: S.safe_double(F.col(c)) for c in ("goldstein_scale", "avg_tone", "lat", "lon")} | {"event_date": S.day(F.col("event_date"))})
-    return d.where("event_date is not null")
+    return split_events(spark, path)[0]
 
 
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:
@@ -128,6 +133,35 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return d.select("title", "link", F.coalesce("guid", "id").alias("id"), F.coalesce("content", "description", "summary").alias("body"), F.coalesce("pubDate", "published", "updated").alias("published"))
 
 
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    """IO-19, D-08: Atom entries; content before summary, published before updated."""
+    text = "struct<_VALUE:string,_type:string>"
+    schema = f"title {text}, link struct<_href:string>, id string, summary {text}, content {text}, published string, updated string"
+    d = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    return d.select(F.col("title._VALUE").alias("title"), F.col("link._href").alias("link"), "id", F.coalesce("content._VALUE", "summary._VALUE").alias("body"), F.coalesce("published", "updated").alias("published"))
+
+
+def read_conflicts(spark: SparkSession, path: str, since: Column, most: int = 500) -> DataFrame:
+    """IO-17: conflict events from a day on, the newest `most`."""
+    item = "struct<event_id_cnty:string,event_date:string,event_type:string,country:string,admin1:string,actor1:string,actor2:string,fatalities:string,notes:string,latitude:string,longitude:string>"
+    d = spark.read.schema(f"data array<{item}>").json(path).select(F.inline("data"))
+    d = d.where(F.to_date("event_date") >= since).withColumn("fatalities", S.safe_int(F.col("fatalities")))
+    return d.orderBy(F.desc("event_date"), "event_id_cnty").limit(most)
+
+
+def read_telegraph(spark: SparkSession, path: str) -> DataFrame:
+    """IO-20, D-07: items of responses without an error number."""
+    item = "struct<id:bigint,title:string,brief:string,content:string,shareurl:string,ctime:bigint,level:string>"
+    d = spark.read.schema(f"errno int, data struct<roll_data:array<{item}>>").json(path).where("errno = 0")
+    return d.select(F.inline("data.roll_data")).withColumn("ctime", S.from_epoch(F.col("ctime")))
+
+
+def read_jsonp(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """IO-22: responses of the form name({...}), one a line."""
+    inner = F.regexp_extract("value", r"^[^({\[]*\((.*)\)\s*;?\s*$", 1)
+    return spark.read.text(path).select(F.from_json(inner, schema).alias("x")).where("x is not null").select("x.*")
+
+
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     """IO-26: {"tickers": [...]} or [...]."""
     item = "struct<ticker:string,sector:string,biz_code:string,name:string,exchange:string>"
