@@ -36,13 +36,15 @@ BLOCK = 512
 SAMPLE = 16  # one text in so many is looked at to learn which shingles are common; affects speed alone
 COMMON = 3
 STEP = 64
+SLICE = 512  # rows of a batch that are worked on at once
+WORDS_HELD = 100_000  # hashes of words that a task keeps at a time
 _P = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(WORDS)], np.uint64)
 _HALF = np.uint64(1) << np.uint64(63)
 
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= WORDS_HELD:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -209,6 +211,13 @@ def join_group(sets: list[np.ndarray], probe: list[bool] | None = None) -> Union
 # --- distributed part -----------------------------------------------------------------------------------
 
 
+def slices(batches):
+    """The batches in pieces of SLICE rows, so that what is made of a piece stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 ROWS = ["doc_id", "key", "n", "shingle", "core"]
 
 
@@ -217,7 +226,7 @@ def prefix_rows(held):
 
     def run(batches):
         known = Hashes()
-        for b in batches:
+        for b in slices(batches):
             ids, texts, keys = b.column("doc_id"), b.column("text"), b.column("key").to_numpy()
             at_keys, at_sh, at_core, sizes = [], [], [], []
             for text, key in zip(texts, keys):
@@ -245,7 +254,7 @@ def prefix_rows(held):
 def common_rows(batches):
     """Sampled docs (text, key) -> (shingle, key)."""
     known = Hashes()
-    for b in batches:
+    for b in slices(batches):
         keys, sh = [], []
         for text, key in zip(b.column("text"), b.column("key").to_numpy()):
             s = shingles(text.as_py(), known)
@@ -311,7 +320,7 @@ def emit_runs(sh, n, key):
 def groups(batches, cols):
     """Runs of equal cols of sorted batches, as lists of rows."""
     now, rows = None, []
-    for b in batches:
+    for b in slices(batches):
         for r in b.to_pylist():
             k = tuple(r[c] for c in cols)
             if k != now:
