@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 24
 _WORD = 15  # bitmap_construct_agg makes bitmaps of 2**15 bits
 
+#: Bytes of an Arrow batch.  Spark's bound of 10,000 rows alone lets a batch of long texts grow to hundreds of MB.
+BATCH_BYTES = 4 << 20
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -21,6 +24,14 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session held to BATCH_BYTES; a bound that the user has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch(df.sparkSession)}/tidewater/{tag}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64
+from .common import bound_batches, fresh, mix64
 
 Q = 12
 BUDGET = 0.05
@@ -177,7 +177,7 @@ def finder(held):
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs and a column of matches; start and end count characters of the folded text."""
-    out, parts = docs, []
+    out, parts = bound_batches(docs), []
     for n, block in enumerate(blocks(benchmark, item_id, item_text)):
         find = finder(docs.sparkSession.sparkContext.broadcast(Index(block)))
         parts.append(fresh(out, f"matches_of_block{n}"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flag_keys, join_counted, key_bitmap, materialize, mix64, text_key
+from .common import bound_batches, flag_keys, join_counted, key_bitmap, materialize, mix64, text_key
 
 LENGTH = 400
 ANCHORS = 200
@@ -191,7 +191,7 @@ def told_apart(d: DataFrame, rows: DataFrame, tag: str) -> tuple[DataFrame, Data
 
 def repeated_windows(d: DataFrame) -> DataFrame:
     """d (text, key) -> (key, spans array<struct<lo,hi>>): runs of window starts whose window occurs again."""
-    rows = materialize(d.select("text", "key").mapInArrow(suffix_rows, "bucket long, cover long, key long, lo int, hi int, at int"), "dup-suffixes")
+    rows = materialize(bound_batches(d).select("text", "key").mapInArrow(suffix_rows, "bucket long, cover long, key long, lo int, hi int, at int"), "dup-suffixes")
     many = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "dup-buckets")
     rows = materialize(join_counted(rows, many, ["bucket"]).drop("n").withColumn("alone", F.lit(True)), "dup-company")
     spans, near = told_apart(d, rows, "dup-level-2")

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 # Statements by which public licences are usually declared.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "apache license version 2.0 january 2004", "spdx license identifier apache 2.0"],
@@ -263,7 +265,7 @@ def finder(held):
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", column: str = "licenses") -> DataFrame:
-    return docs.withColumn(column, finder(docs.sparkSession.sparkContext.broadcast(trained()))(F.col(text_col)))
+    return bound_batches(docs).withColumn(column, finder(docs.sparkSession.sparkContext.broadcast(trained()))(F.col(text_col)))
 
 
 def license_report(docs: DataFrame) -> DataFrame:

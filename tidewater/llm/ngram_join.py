@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, flag_keys, fresh, integer_id, key_bitmap, materialize, mix64, text_key
+from .common import bound_batches, components, flag_keys, fresh, integer_id, key_bitmap, materialize, mix64, text_key
 
 WORDS = 5
 NUM, DEN = 4, 5  # the threshold 0.8
@@ -377,7 +377,7 @@ def probe_links(held):
 def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, n, component_id, stays), a row for each input row; stays: key of the component's text with its least id."""
     spark = docs.sparkSession
-    d = docs.select(integer_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
+    d = bound_batches(docs).select(integer_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     sample = d.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(SAMPLE)) == 0).select("text", "key")

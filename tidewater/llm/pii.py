@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -380,7 +382,7 @@ def finder(held):
 
 def with_spans(docs: DataFrame, column: str = "pii", text_col: str = "text") -> DataFrame:
     """docs and a column of base and added spans."""
-    return docs.withColumn(column, finder(docs.sparkSession.sparkContext.broadcast(trained()))(F.col(text_col)))
+    return bound_batches(docs).withColumn(column, finder(docs.sparkSession.sparkContext.broadcast(trained()))(F.col(text_col)))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
@@ -415,5 +417,5 @@ def redactor(held):
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input rows with every span replaced by its kind; n_chars, if there, follows."""
     held = docs.sparkSession.sparkContext.broadcast(trained())
-    out = docs.withColumn(text_col, redactor(held)(F.col(text_col)))
+    out = bound_batches(docs).withColumn(text_col, redactor(held)(F.col(text_col)))
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, mix64, text_key
+from .common import bound_batches, fresh, materialize, mix64, text_key
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -165,7 +165,7 @@ def passes(cuts: str, f: str = "") -> Column:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", "lang", text_key(F.col("text")).alias("key"), text_features(F.col("text")).alias("f")).select("doc_id", "lang", "key", "f.*")
+    d = bound_batches(docs).select("doc_id", "lang", text_key(F.col("text")).alias("key"), text_features(F.col("text")).alias("f")).select("doc_id", "lang", "key", "f.*")
     d = materialize(d, "quality-features")
     return with_cutoffs(d, learn(d, labels), "cuts").select("doc_id", *FEATURES.names[:5], base_failed().alias("base_failed"), passes("cuts").alias("kept"), *RULES)
 
@@ -173,6 +173,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input rows that pass, all their columns unchanged."""
     f, cuts = fresh(docs, "features"), fresh(docs, "cuts")
-    measured = docs.select("doc_id", "lang", text_key(F.col("text")).alias("key"), text_features(F.col("text")).alias("f")).select("doc_id", "lang", "key", "f.*")
+    measured = bound_batches(docs).select("doc_id", "lang", text_key(F.col("text")).alias("key"), text_features(F.col("text")).alias("f")).select("doc_id", "lang", "key", "f.*")
     cutoffs = learn(measured, labels)
     return with_cutoffs(docs.withColumn(f, text_features(F.col("text"))), cutoffs, cuts).where(passes(cuts, f + ".")).select(*docs.columns)

@@ -22,6 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Where the tokenizer's files are; the same folder on every executor, or a file added with addFile.
 TOKENIZERS = os.environ.get("TIDEWATER_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k.tiktoken"
@@ -93,5 +95,5 @@ def token_counts(text: Column, folder: str = TOKENIZERS, name: str = NAME, rule:
 
 
 def token_report(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", token_counts(F.col("text")).alias("t"))
+    d = bound_batches(docs).select("doc_id", token_counts(F.col("text")).alias("t"))
     return d.select("doc_id", "t.n_tokens", F.size("t.section_tokens").cast("long").alias("n_sections"), "t.n_crossing", F.array_join(F.col("t.section_tokens").cast("array<string>"), ",").alias("section_tokens"))
