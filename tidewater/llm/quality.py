@@ -175,4 +175,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     f, cuts = fresh(docs, "features"), fresh(docs, "cuts")
     measured = bound_batches(docs).select("doc_id", "lang", text_key(F.col("text")).alias("key"), text_features(F.col("text")).alias("f")).select("doc_id", "lang", "key", "f.*")
     cutoffs = learn(measured, labels)
-    return with_cutoffs(docs.withColumn(f, text_features(F.col("text"))), cutoffs, cuts).where(passes(cuts, f + ".")).select(*docs.columns)
+    once = text_features.asNondeterministic()  # else the filter is pushed below the join and a second worker a task computes it again
+    return with_cutoffs(docs.withColumn(f, once(F.col("text"))), cutoffs, cuts).where(passes(cuts, f + ".")).select(*docs.columns)
