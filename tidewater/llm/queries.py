@@ -69,6 +69,24 @@ def op10_ngram_join(spark, sf_dir):
     return near_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_pack_windows(spark, sf_dir):
+    from .packing import packing_report
+
+    return packing_report(_read(spark, sf_dir, "documents"))
+
+
+def op12_repair_conversations(spark, sf_dir):
+    from .dialogue import conversation_report
+
+    return conversation_report(_read(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    from .negatives import negatives_report
+
+    return negatives_report(_read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -76,10 +94,13 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    own = (op1_pii, op2_mix_sources, op3_repeated_spans, op4_lm_score, op5_quality_rules, op6_license_scan, op7_decontaminate, op8_token_counts, op9_secret_scan, op10_ngram_join, pipeline)
+    own = (op1_pii, op2_mix_sources, op3_repeated_spans, op4_lm_score, op5_quality_rules, op6_license_scan, op7_decontaminate, op8_token_counts, op9_secret_scan, op10_ngram_join, op11_pack_windows, op12_repair_conversations, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: what each method decides is outside SQL; tests compare with brute force instead."""
-    return {}
+    """Of the others, what each method decides is outside SQL; tests compare with brute force instead."""
+    from .dialogue import CONVERSATION_SQL
+    from .negatives import NEGATIVES_SQL
+
+    return {"op12_repair_conversations": CONVERSATION_SQL, "op13_hard_negatives": NEGATIVES_SQL}
