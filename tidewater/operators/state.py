@@ -44,9 +44,10 @@ def finish(log: DataFrame, keys: DataFrame, owner: str, now: Column, status: str
     return _next(current(log).where((F.col("status") == "processing") & (F.col("owner") == owner)).join(keys, "content_hash", "left_semi"), F.lit(status), now)
 
 
-def fail(log: DataFrame, keys: DataFrame, now: Column, most: int) -> DataFrame:
-    """X-04: one attempt more; at the limit dead."""
-    rows = current(log).where("status = 'processing'").join(keys, "content_hash", "left_semi")
+def fail(log: DataFrame, keys: DataFrame, now: Column, most: int, owner: str | None = None) -> DataFrame:
+    """X-04: one attempt more; at the limit dead. Only the owner's rows, if one is given."""
+    mine = (F.col("status") == "processing") & (F.lit(True) if owner is None else F.col("owner") == owner)
+    rows = current(log).where(mine).join(keys, "content_hash", "left_semi")
     n = F.col("attempts") + 1
     return _next(rows, F.when(n >= most, "dead").otherwise("failed"), now, attempts=n)
 

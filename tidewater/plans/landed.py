@@ -82,11 +82,11 @@ def q95_read_sanctions(spark, sf):
     num, nation = k.cast("string"), F.col("s_nationkey").cast("string")
     names, places = folder(spark, "sdn-csv"), folder(spark, "add-csv")
     kind = F.when(k % 2 == 0, "individual").otherwise("-0-")
-    n = s.orderBy("s_suppkey").coalesce(1).select(F.when(k % 7 == 0, "x").otherwise(num).alias("a"), "s_name", kind.alias("c"), F.concat(F.lit("P"), nation, F.lit("] [IFSR")).alias("d"), *[F.lit("-0-").alias(f"e{i}") for i in range(8)])
+    n = s.orderBy("s_suppkey").select(F.when(k % 7 == 0, "x").otherwise(num).alias("a"), "s_name", kind.alias("c"), F.concat(F.lit("P"), nation, F.lit("] [IFSR")).alias("d"), *[F.lit("-0-").alias(f"e{i}") for i in range(8)])
     n.write.csv(names)
     real = F.when(k % 3 > 0, F.concat(F.lit("C"), nation)).otherwise("-0- ")
     two = F.explode(F.array(F.lit("-0- "), real, F.when(k % 3 > 0, "later").otherwise("-0-")))
-    s.coalesce(1).select(num.alias("a"), F.lit("1").alias("b"), F.lit("-").alias("c"), F.lit("-").alias("d"), two.alias("e"), F.lit("-").alias("f")).write.csv(places)
+    s.select(num.alias("a"), F.lit("1").alias("b"), F.lit("-").alias("c"), F.lit("-").alias("d"), two.alias("e"), F.lit("-").alias("f")).write.csv(places)
     return IO.read_sanctions(spark, names, places, 500).withColumn("programs", F.array_join("programs", ","))
 
 

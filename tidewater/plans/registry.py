@@ -32,7 +32,7 @@ def folder(spark: SparkSession, tag: str) -> str:
 
 
 def _load() -> None:
-    from . import answers, catalogue, landed, values  # noqa: F401
+    from . import answers, catalogue, landed, upkeep, values  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .positions import with_position
 
 LINES = 10_000
 
@@ -31,27 +32,62 @@ def _tsv(spark: SparkSession, path: str, columns: dict[str, int], least: int) ->
     return raw.select(*[F.trim(F.get("_f", F.lit(i))).alias(n) for n, i in columns.items()])
 
 
+ARCHIVE = "path string, line_no bigint, value string, error string"
+
+
 def _unzip(batches):
-    """Binary contents -> lines of the first .csv in each; an archive that is none, or has none, gives no lines."""
+    """(path, content) -> the lines of the first .csv in each archive, and a row with the error for one that can't be read to its end."""
     for b in batches:
-        for content in b.column("content"):
+        for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+            row = lambda lines, at, error: pa.RecordBatch.from_arrays(
+                [pa.array([path] * len(lines), pa.string()), pa.array(at, pa.int64()), pa.array(lines, pa.string()), pa.array([error] * len(lines), pa.string())], names=["path", "line_no", "value", "error"])  # noqa: B023
+            n = 0
             try:
-                z = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                z = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
                 name = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
                 if name is None:
+                    yield row([None], [None], "no csv")
                     continue
                 with z.open(name) as f:
                     lines = io.TextIOWrapper(f, "utf-8", errors="replace", newline="\n")
                     while part := [x.rstrip("\r\n") for x in itertools.islice(lines, LINES)]:
-                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["value"])
-            except (zipfile.BadZipFile, zlib.error):
-                continue
+                        yield row(part, range(n, n + len(part)), None)
+                        n += len(part)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+                yield row([None], [None], type(e).__name__)
+
+
+def archive_lines(archives: DataFrame) -> DataFrame:
+    """IO-09: (path, line_no, value, error) of archives (path, content); one task holds an archive's compressed bytes, never its whole text.
+
+    An archive that fails gives a row with its error; lines read before a fault in its middle are given too, and a user who wants
+    whole archives only drops those of paths with an error.
+    """
+    return archives.select("path", "content").mapInArrow(_unzip, ARCHIVE)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    return archive_lines(spark.read.format("binaryFile").load(path))
+
+
+def archive_report(lines: DataFrame) -> DataFrame:
+    """IO-09: (path, n_lines, error), a row for each archive that gave lines or an error."""
+    return lines.groupBy("path").agg(F.count("value").alias("n_lines"), F.max("error").alias("error"))
 
 
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """IO-09: column value, the lines of landed zips; one task holds an archive's compressed bytes, never its whole text."""
-    found = spark.read.format("binaryFile").load(path).select("content")
-    return found.mapInArrow(_unzip, "value string")
+    """IO-09: column value, the lines of landed zips that can be read."""
+    return read_archives(spark, path).where("error is null").select("value")
+
+
+def read_manifest_archives(spark: SparkSession, manifest: str, folder: str) -> dict[str, DataFrame]:
+    """IO-08, IO-09: archive_lines of the three archives that a manifest lists, by kind, from where they have landed.
+
+    The kinds are those of the names' middle parts: export, mentions and gkg.
+    """
+    names = [u.rsplit("/", 1)[-1] for u in read_manifest(spark, manifest)]
+    kind = lambda n: next((k for k in ("export", "mentions", "gkg") if f".{k}." in n.lower()), n)
+    return {kind(n): read_archives(spark, f"{folder.rstrip('/')}/{n}") for n in names}
 
 
 def read_manifest(spark: SparkSession, path: str) -> list[str]:
@@ -99,12 +135,12 @@ def read_curve(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sanctions(spark: SparkSession, names: str, addresses: str, most: int = 3000) -> DataFrame:
-    """IO-11, IO-12, J-04: the last `most` entities, the last first, with programs and the first real country."""
+    """IO-11, IO-12, J-04: the last `most` entities in the order of the files, the last first, with programs and the first real country."""
     n = spark.read.schema("ent_num string, name string, kind string, program string, " + ", ".join(f"x{i} string" for i in range(8))).csv(names)
-    n = n.withColumn("line", F.monotonically_increasing_id()).where(F.rlike("ent_num", F.lit("^[0-9]+$")) & (F.coalesce("name", F.lit("")) != ""))
+    n = with_position(n, "line").where(F.rlike("ent_num", F.lit("^[0-9]+$")) & (F.coalesce("name", F.lit("")) != ""))
     n = n.orderBy(F.desc("line")).limit(most)
     a = spark.read.schema("ent_num string, add_num string, address string, city string, country string, remarks string").csv(addresses)
-    a = a.withColumn("line", F.monotonically_increasing_id()).where("trim(country) not in ('-0-', '')")
+    a = with_position(a, "line").where("trim(country) not in ('-0-', '')")
     a = a.groupBy("ent_num").agg(F.min_by(F.trim("country"), "line").alias("country"))
     d = n.join(a, "ent_num", "left").orderBy(F.desc("line"))
     return d.select("ent_num", "name", S.target_type(F.col("kind")).alias("target_type"), S.programs(F.col("program")).alias("programs"), F.coalesce("country", F.lit("")).alias("country"))
