@@ -25,6 +25,7 @@ HELD = ("body", "content")
 ARTICLE_TYPES = ("newsarticle", "article", "blogposting")
 LD_KEYS = ("articleBody", "article_body", "articlebody", "description")
 
+# The scripts that hold a page's state and its linked data.
 STATE = r"""(?is)<script[^>]*id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""
 LINKED = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1>"
@@ -106,9 +107,9 @@ def from_linked(html: Column) -> Column:
 
 
 def extract(html: Column) -> Column:
-    """K-04: struct (text, engine) of the first of embedded state, linked data and stripped page (without scripts and styles) that has LEAST characters."""
-    one = lambda text, name: F.when(text.isNotNull(), F.struct(text.alias("text"), F.lit(name).alias("engine")))
-    return F.coalesce(one(from_state(html), "next_data"), one(from_linked(html), "json_ld"), one(_long(S.strip_html(F.regexp_replace(html, HIDDEN, " "))), "page"))
+    """K-04: struct (text, engine) of the first of embedded state, linked data and stripped page (without scripts and styles) that has LEAST characters, its text cleaned (S-08)."""
+    one = lambda text, name: F.when(text.isNotNull(), F.struct(S.clean_extracted(text).alias("text"), F.lit(name).alias("engine")))
+    return F.coalesce(one(from_state(html), "next_data"), one(from_linked(html), "json_ld"), one(_long(S.strip_tags(F.regexp_replace(html, HIDDEN, " "))), "page"))
 
 
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n?"

@@ -183,6 +183,17 @@ def edge_type_of_fact(fact: Column) -> Column:
     return out
 
 
+def legacy_edge_type(fact: Column) -> Column:
+    """S-24: what the first pattern found in the lower-cased fact was once called; null if none."""
+    low, out = F.lower(fact), None
+    for core, patterns in vocab.FACT_PATTERNS:
+        for p in patterns:
+            name = vocab.LEGACY.get(p, vocab.LEGACY_DEFAULTS.get(core, core))
+            hit = F.rlike(low, F.lit(p))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
 def truncate_leaked(text: Column) -> Column:
     """S-25: cut at the first leak marker, then quotes and spaces off both ends; empty becomes null."""
     cut = F.regexp_replace(text, "(?is)(?:" + "|".join(vocab.LEAK_MARKERS) + ").*$", "")

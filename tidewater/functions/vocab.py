@@ -10,11 +10,13 @@ CORPORATE_SUFFIXES = ["ltd", "ltd.", "limited", "inc", "inc.", "corp", "corp.",
 COUNTRIES = ["United States", "China", "European Union", "Japan", "Russia", "India", "UK", "Germany", "France", "Brazil", "Canada", "Australia", "South Korea"]
 COMMODITIES = {"Crude Oil": r"\b(?:crude\s+)?oil\b", "Gold": r"\bgold\b", "Silver": r"\bsilver\b", "Copper": r"\bcopper\b", "Natural Gas": r"\bnatural\s+gas\b", "Wheat": r"\bwheat\b", "Corn": r"\bcorn\b", "Soybeans": r"\bsoybean\b"}
 THEMES = {"Inflation": r"\binflation\b", "Interest Rates": r"\binterest\s+rate\b", "GDP Growth": r"\bGDP\b", "Unemployment": r"\bunemployment\b", "Recession": r"\brecession\b", "Tariffs": r"\btariff\b", "Trade War": r"\btrade\s+war\b", "Sanctions": r"\bsanction\b", "IPO": r"\bIPO\b", "M&A": r"\bmerger\b"}
-STOP_WORDS = (
-    "the a an and or is are was were in on at for to of with by from as it its this that not but has have had be been being will can may could should "
-    "would do does did if than then so no up out about into over after more most some any all each every new also how why what when where which who whom their our "
-    "your his her we they you he she i me my us them s t re ve ll d m"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "is", "are", "was", "were", "in", "on", "at", "for", "to", "of", "with", "by", "from", "as", "it", "its", "this",
+    "that", "not", "but", "has", "have", "had", "be", "been", "being", "will", "can", "may", "could", "should", "would", "do", "does", "did", "if",
+    "than", "then", "so", "no", "up", "out", "about", "into", "over", "after", "more", "most", "some", "any", "all", "each", "every", "new", "also",
+    "how", "why", "what", "when", "where", "which", "who", "whom", "their", "our", "your", "his", "her", "we", "they", "you", "he", "she", "i", "me",
+    "my", "us", "them", "s", "t", "re", "ve", "ll", "d", "m"
+]
 MACRO_THEMES = [
     "Econ Centralbank", "Econ Interest Rates", "MONETARY_POLICY", "Econ Inflation", "Econ Deflation", "RECESSION", "GDP", "Econ Freetrade", "TARIFF", "SANCTION", "EMBARGO", "BLOCKADE",
     "GEOPOLITICAL", "WAR", "ARMEDCONFLICT", "CEASEFIRE", "REGULATION", "ANTITRUST", "Econ Stockmarket", "Econ Currency Exchange Rate", "Econ Bitcoin", "Econ Goldprice", "Econ Oilprice",
@@ -26,7 +28,7 @@ TENORS = ["1mo", "2mo", "3mo", "4mo", "6mo", "1yr", "2yr", "3yr", "5yr", "7yr",
 STATUSES = ["pending", "processing", "done", "skipped", "failed", "dead"]
 TTL_DAYS = {"SYMBOL": 3, "SECTOR": 7, "MACRO": 14}
 
-# Relation names: prefixes of a raw name and the core type they stand for, first match wins.
+# Fixed values. Relation names: prefixes of a raw name and the core type they stand for, first match wins.
 EDGE_PREFIXES = [
     ("RELATES_TO", ["RELATES_TO"]),
     ("TRIGGERS", ["CAUSES", "CAUSED", "TRIGGER", "LED_TO", "SPARK", "RESULT"]),
@@ -39,7 +41,7 @@ EDGE_PREFIXES = [
     ("PART_OF", ["PART", "LOCATED"]),
 ]
 
-# Facts: patterns of each core type, families in order, first match wins.
+# Fixed values. Facts: patterns of each core type, families in order, first match wins.
 _ROLES = r"ceo|chief\s+executive|chairman|chairwoman|chair(?:person)?|president|chief|head|directors?|ministers?|governors?|premiers?|secretary|spokespersons?|founders?|owners?|partners?|analysts?|economists?|professors?|strategists?|fellows?|anchors?|experts?"
 FACT_PATTERNS = [
     ("PART_OF", [
@@ -60,6 +62,44 @@ FACT_PATTERNS = [
     ("HAPPENED_IN", [r"\bhappened\s+in\b", r"\boccurred\s+in\b", r"\btook\s+place\s+in\b", r"\bis\s+located\s+in\b", r"\bwas\s+located\s+in\b"]),
 ]
 
+# What edges were once called, by pattern, and of a family's other patterns; loose words, retired names.
+LEGACY = {
+    r"\bsubsidiar(?:y|ies)\b": "SUBSIDIARY_OF",
+    r"\bparent\s+(company|firm|group)\b": "PARENT_OF",
+    r"\ba\s+unit\s+of\b": "SUBSIDIARY_OF",
+    r"\bacquired\b": "ACQUIRED_BY",
+    r"\binvolv(es|ed|ing)?\b": "INVOLVES",
+    r"chairman|chairwoman|\bco-?chairs?\b|\bchair\b": "CHAIRMAN_OF",
+    r"\bjoined\b": "EMPLOYED_BY",
+    r"\bemployed\b": "EMPLOYED_BY",
+    r"\bworks?\s+for\b": "WORKS_FOR",
+} | {p: "PART_OF" for p in FACT_PATTERNS[0][1] if "part\\s+of" in p}
+LEGACY_DEFAULTS = {"PART_OF": "OWNED_BY", "INVOLVES": "CEO_OF"}
+LOOSE_FACT = r"\bbecame\b|\bpartners?\b"
+RETIRED = ["INVESTS_IN", "EXPOSED_TO"]
+
+# Names of media that are no entities.
+MEDIA = ["CLS", "Cailisi", "CLS News", "Reuters", "Bloomberg", "Xinhua", "CCTV", "Eastmoney", "财联社", "新华社", "央视", "路透社", "彭博社"]
+
+# Hosts whose news counts whatever its theme.
+MEDIA_HOSTS = [
+    "reuters.com", "bloomberg.com", "apnews.com", "afp.com", "bbc.com", "bbc.co.uk", "wsj.com", "ft.com", "economist.com", "cnbc.com", "marketwatch.com", "barrons.com",
+    "investing.com", "finance.yahoo.com", "federalreserve.gov", "ecb.europa.eu", "imf.org", "worldbank.org", "bis.org", "oecd.org", "bankofengland.co.uk", "boj.or.jp", "pbc.gov.cn",
+    "scmp.com", "nikkei.com", "channelnewsasia.com", "businesstimes.com.sg", "straitstimes.com", "theedgemalaysia.com", "caixin.com", "cls.cn", "yicai.com", "21jingji.com", "stcn.com",
+]
+
+# Words that make a feed item matter.
+FEED_WORDS = [
+    "fed", "ecb", "rate", "inflation", "gdp", "oil", "gold", "copper", "tariff", "trade", "market", "stock", "bond", "forex", "currency", "central bank", "monetary policy",
+    "interest rate", "treasury", "commodity", "crude", "natural gas", "silver", "platinum", "geopolitical", "sanction", "embargo", "war", "conflict", "earnings", "revenue",
+    "profit", "loss", "ipo", "merger", "acquisition", "recession", "growth", "employment", "unemployment", "cpi", "ppi", "gaza", "israel", "ukraine", "taiwan",
+    "south china sea", "red sea", "iran", "russia", "nato", "summit", "fiscal", "deficit", "debt", "budget", "stimulus", "quantitative easing", "austerity", "supply chain",
+    "semiconductor", "chip", "shipping", "logistics", "rare earth", "ceo", "layoff", "restructuring", "bankruptcy", "dividend", "buyback", "crisis", "default", "contagion",
+    "volatility", "correction", "renewable", "solar", "ev", "battery", "lithium", "carbon", "business", "economy", "industry", "company", "corporate", "investment", "bank",
+    "finance", "export", "import", "manufacturing", "technology", "energy", "infrastructure", "央行", "利率", "通胀", "关税", "贸易", "股市", "债券", "汇率", "原油", "黄金",
+    "白银", "铜", "天然气", "大宗商品", "地缘政治", "制裁", "禁运", "战争", "冲突", "财报", "营收", "利润", "亏损", "ipo", "并购", "收购", "衰退", "增长", "就业", "失业", "cpi", "ppi",
+]
+
 # Names of theme prefixes.
 THEME_PREFIXES = {
     "WB_": "World Bank",

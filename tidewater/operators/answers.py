@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import relational as R
+from .graph import khop_of
 
 LEVELS = ("critical", "high", "medium", "low")
 
@@ -43,9 +44,14 @@ def since(episodes: DataFrame, now: Column, days: int) -> DataFrame:
     return episodes.where(F.col("created_at") > now - F.make_dt_interval(F.lit(days)))
 
 
-def active_events(episodes: DataFrame, entities: DataFrame, now: Column, limit: int = 50, sector: str | None = None, days: int = 7) -> DataFrame:
-    """API-1: the newest of the last week, of a sector if given (F-16), by severity, then time (T-02). No row goes for its severity."""
-    found = since(episodes, now, days)
+def at_least(severity: Column, least: str) -> Column:
+    """F-15: unknown or missing levels count as medium."""
+    return S.weight(severity_of(severity)) >= S.weight(F.lit(least.lower()))
+
+
+def active_events(episodes: DataFrame, entities: DataFrame, now: Column, limit: int = 50, sector: str | None = None, days: int = 7, min_severity: str = "low") -> DataFrame:
+    """API-1: the newest of the last week, of a sector if given (F-16), from a severity on (quirk Q7; the default keeps all), by severity, then time (T-02)."""
+    found = since(episodes, now, days).where(at_least(F.col("severity"), min_severity))
     if sector is not None:
         hit = F.contains("sector", F.lit(sector)) | F.contains("name", F.lit(sector))
         found = found.join(entities.where(hit).select("event_id"), "event_id", "left_semi")
@@ -66,6 +72,45 @@ def sector_statistics(events: DataFrame, entities: DataFrame) -> DataFrame:
     return main.crossJoin(F.broadcast(tickers)).select("n_events", "n_tickers", "dominant")  # one row each
 
 
+def sector_answer(episodes: DataFrame, entities: DataFrame, sector: str, now: Column, briefing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """API-3: (events, one row of statistics with the cached briefing (sector, briefing), null if there is none)."""
+    events = sector_events(episodes, entities, sector, now)
+    one = sector_statistics(events, entities).withColumn("sector", F.lit(sector))
+    return events, one.join(briefing.where(F.col("sector") == sector).select("sector", "briefing"), "sector", "left")
+
+
+def entity_events(episodes: DataFrame, entities: DataFrame, ticker: str, now: Column, limit: int = 30, min_severity: str = "medium", days: int = 7) -> DataFrame:
+    """API-2: the newest recent episodes that touch an entity of the ticker, from a severity on."""
+    touched = entities.where(F.col("ticker") == ticker).select("event_id")
+    found = since(episodes, now, days).where(at_least(F.col("severity"), min_severity)).join(touched, "event_id", "left_semi")
+    return event_items(newest(found, limit, "valid_at", "created_at"), entities)
+
+
+def entity_summary(events: DataFrame) -> DataFrame:
+    """API-2, A-06: one row (n, avg_severity, risk_level, sentiment) over the answer's events."""
+    d = events.agg(F.count("*").alias("n"), F.avg(S.weight(F.col("severity"))).alias("avg"))
+    s = R.severity_summary(F.coalesce("avg", F.lit(2.0)))
+    return d.select("n", s["avg_severity"].alias("avg_severity"), F.upper(s["avg_severity"]).alias("risk_level"), s["sentiment"].alias("sentiment"))
+
+
+def graph_records(nodes: DataFrame, edges: DataFrame, ticker: str, hops: int = 3, limit: int = 200) -> DataFrame:
+    """API-2, J-11, T-05: records (pos, start_*, source_*, target_*, edge_type, fact) of the edges up to `hops` away from the ticker's nodes, the first `limit` by id.
+
+    A start without edges has a record of its own, its edge null.  nodes: name, labels, ticker.  edges: id, src, dst, name, fact.
+    """
+    if not 1 <= hops <= 3:
+        raise ValueError("hops must be 1, 2 or 3")
+    start = nodes.where(F.col("ticker") == ticker)
+    near = khop_of(edges, start.select(F.col("name").alias("a")), hops).orderBy("id").limit(limit)
+    end = lambda which, key: nodes.select(F.col("name").alias(key), F.col("name").alias(f"{which}_name"), F.col("labels").alias(f"{which}_labels"), F.col("ticker").alias(f"{which}_ticker")).dropDuplicates([key])
+    d = near.join(end("source", "src"), "src", "left").join(end("target", "dst"), "dst", "left")
+    d = d.select(F.col("id").cast("long").alias("pos"), *[f"{w}_{c}" for w in ("source", "target") for c in ("name", "labels", "ticker")], F.col("name").alias("edge_type"), "fact")
+    one = start.groupBy().agg(F.min_by(F.struct("name", "labels", "ticker"), "name").alias("s"))  # one row, null without a start
+    named = lambda x: x.select("*", *[F.col(f"s.{c}").alias(f"start_{c}") for c in ("name", "labels", "ticker")]).drop("s")
+    alone = one.withColumn("pos", F.lit(-1).cast("long"))
+    return named(d.crossJoin(F.broadcast(one))).unionByName(named(alone), allowMissingColumns=True).where("start_name is not null")
+
+
 def recent_risks(episodes: DataFrame, now: Column, days: int = 14, limit: int = 10) -> DataFrame:
     """API-4, F-17, T-03: the newest episodes of macro scope."""
     return newest(since(episodes, now, days).where(F.contains("metadata", F.lit("MACRO"))), limit, "created_at")

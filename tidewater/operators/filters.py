@@ -58,9 +58,10 @@ def with_support(events: DataFrame, mentions: DataFrame, key: str, least: int) -
     return out.crossJoin(F.broadcast(some)).where((F.col("n_mentions") >= least) | ~F.col("_some")).drop("_some")
 
 
-def relevant(host: Column, themes: Column, domains: list[str], keywords: list[str] | None = None, fix_case: bool = False) -> Column:
+def relevant(host: Column, themes: Column, domains: list[str] | None = None, keywords: list[str] | None = None, fix_case: bool = False) -> Column:
     """F-06: an authoritative host, or a keyword as a whole word of the upper-cased themes (quirk Q1 unless fix_case)."""
     words = vocab.MACRO_THEMES if keywords is None else keywords
+    domains = vocab.MEDIA_HOSTS if domains is None else domains
     if not words:
         return F.lit(True)
     words = [w.upper() for w in words] if fix_case else words
@@ -73,6 +74,12 @@ def mentions_word(text: Column, words: list[str]) -> Column:
     return F.coalesce(F.rlike(F.lower(text), F.lit(r"\b(?:" + "|".join(words) + r")\b")), F.lit(False))
 
 
+def feed_relevant(title: Column, summary: Column, words: list[str] | None = None) -> Column:
+    """F-07: any of the words in title and summary, joined by a space."""
+    joined = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
+    return mentions_word(joined, vocab.FEED_WORDS if words is None else words)
+
+
 def excluded_url(url: Column) -> Column:
     """F-08: audio and video pages of one broadcaster."""
     return F.contains(url, F.lit("bbc.co.uk")) & (F.contains(url, F.lit("/sounds/")) | F.contains(url, F.lit("/play/")))
@@ -122,5 +129,15 @@ def unclassified(severity: Column) -> Column:
 
 
 def has_control(text: Column) -> Column:
-    """F-21: control signs other than tab and line ends."""
+    """F-21, first of three: control signs other than tab and line ends."""
     return F.coalesce(F.rlike(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")), F.lit(False))
+
+
+def is_medium(name: Column) -> Column:
+    """F-21: the name of a medium, which is no entity, anywhere in it, in any case."""
+    return F.coalesce(F.rlike(name, F.lit("(?i)" + "|".join(vocab.MEDIA))), F.lit(False))
+
+
+def has_leak(text: Column) -> Column:
+    """F-21: marks of instructions that leaked into the text."""
+    return F.coalesce(F.rlike(text, F.lit("(?i)" + "|".join(f"(?:{m})" for m in vocab.LEAK_MARKERS))), F.lit(False))

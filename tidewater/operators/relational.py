@@ -11,8 +11,27 @@ from ..functions import vocab
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """First row of each key by a total order (A-12, W-06 with descending order)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return least_per(df, keys, order, 1)
+
+
+def least_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The k first rows of each key by a total order; every task keeps k rows a key before the shuffle."""
+    r = fresh_name(df, "nth")
+    return df.withColumn(r, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(r) <= k).drop(r)
+
+
+def samples(df: DataFrame, keys: list[str], item: str, k: int, out: str = "samples") -> DataFrame:
+    """A-15, A-16: (keys, out): the k least items of each key in order, without a list of all of them."""
+    d = least_per(df.select(*keys, item), keys, [item], k)
+    return d.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(out))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def translate_codes(df: DataFrame, book: DataFrame, code: str, text: str, out: str) -> DataFrame:

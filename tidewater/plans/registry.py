@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import scratch
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
 
@@ -27,12 +29,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def folder(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def _load() -> None:
-    from . import answers, catalogue, landed, upkeep, values  # noqa: F401
+    from . import answers, catalogue, landed, reports, upkeep, values  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -198,6 +198,59 @@ def read_jsonp(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json(inner, schema).alias("x")).where("x is not null").select("x.*")
 
 
+def read_listed_sanctions(spark: SparkSession, path: str, now: Column, days: int) -> DataFrame:
+    """IO-13: results of search responses, the first of each list; entries listed more than `days` days ago go, those without a day stay."""
+    lists = ("countries", "programs", "topics", "first_seen", "start_date")
+    item = "struct<id:string,caption:string,schema:string,properties:struct<" + ",".join(f"{c}:array<string>" for c in lists) + ">>"
+    d = spark.read.schema(f"results array<{item}>").json(path).select(F.inline("results"))
+    some = lambda c: F.when(F.size(f"properties.{c}") > 0, F.col(f"properties.{c}"))
+    first = lambda *cs: F.get(F.coalesce(*[some(c) for c in cs]), F.lit(0))
+    listed = first("first_seen", "start_date")
+    url = F.when(F.coalesce("id", F.lit("")) != "", F.concat(F.lit("https://www.opensanctions.org/entities/"), "id", F.lit("/")))
+    d = d.select(
+        F.coalesce("caption", F.lit("")).alias("entity_name"), F.when(F.lower("schema") == "person", "person").otherwise("legalEntity").alias("target_type"), F.coalesce(first("countries"), F.lit("")).alias("country"),
+        F.coalesce(first("programs", "topics"), F.lit("")).alias("sanction_program"), listed.alias("listing_date"), url.alias("source_url"), F.lit("opensanctions").alias("source"),
+    )
+    day = F.try_to_timestamp(F.left("listing_date", F.lit(10)), F.lit("yyyy-MM-dd"))
+    return d.where(day.isNull() | (day >= now - F.make_dt_interval(F.lit(days))))
+
+
+def read_announcements(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
+    """IO-21: announcements of responses (asked, announcements); what a response lacks comes from the list (biz_code, name) by the code asked for."""
+    item = "struct<announcementId:string,announcementTitle:string,secCode:string,secName:string,announcementTime:string,adjunctUrl:string,announcementType:string>"
+    d = spark.read.schema(f"asked string, announcements array<{item}>").json(path).select("asked", F.inline("announcements"))
+    d = d.join(listed.select(F.col("biz_code").alias("asked"), "name").dropDuplicates(["asked"]), "asked", "left")
+    text = lambda c: F.coalesce(c, F.lit("")).alias
+    return d.select(
+        F.col("announcementId").alias("ann_id"), text("announcementTitle")("title"), F.coalesce("secCode", "asked").alias("sec_code"), F.coalesce("secName", "name", F.lit("")).alias("sec_name"),
+        text("announcementTime")("ann_date"), text("adjunctUrl")("adjunct_url"), text("announcementType")("category"), S.exchange_of(F.col("asked")).alias("exchange"),
+    )
+
+
+def read_research(spark: SparkSession, path: str, now: Column, days: int = 30) -> DataFrame:
+    """IO-23: reports of responses (asked, data) published in the last `days` days."""
+    names = {"infoCode": "info_code", "title": "title", "stockName": "stock_name", "stockCode": "stock_code", "orgSName": "org_name", "researcher": "author", "emRatingName": "rating", "publishDate": "publish_date", "encodeUrl": "encode_url", "abstract": "abstract"}
+    d = spark.read.schema("asked string, data array<struct<" + ",".join(f"{c}:string" for c in names) + ">>").json(path).select("asked", F.inline("data"))
+    d = d.select(*[F.coalesce(c, F.col("asked") if c == "stockCode" else F.lit("")).alias(n) for c, n in names.items()])
+    day = F.try_to_timestamp(F.left("publish_date", F.lit(19)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return d.where((day >= now - F.make_dt_interval(F.lit(days))) & (day <= now))
+
+
+def read_stock_news(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
+    """IO-24: news frames (symbol and Chinese or English columns) as CSV, with the listed share's names by its code."""
+    columns = {"title": "新闻标题", "content": "新闻内容", "time": "发布时间", "source": "文章来源", "link": "新闻链接"}
+    d = spark.read.option("header", True).option("escape", '"').csv(path)
+    of = lambda en, zh: F.coalesce(*[F.col(f"`{c}`") for c in (zh, en) if c in d.columns], F.lit("")).alias(en)
+    d = d.select(*[of(en, zh) for en, zh in columns.items()], "symbol")
+    share = listed.select(F.col("biz_code").alias("symbol"), F.col("name").alias("ticker_name"), F.col("ticker").alias("ticker_full"), "sector", "exchange").dropDuplicates(["symbol"])
+    return d.join(share, "symbol", "inner")
+
+
+def duplicate_listings(listed: DataFrame) -> DataFrame:
+    """IO-26: names that the whitelist has more than once, with how often and the ticker that counts, the last."""
+    return listed.groupBy("name").agg(F.count("*").alias("n"), F.max_by("ticker", "pos").alias("ticker")).where("n > 1")
+
+
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     """IO-26: {"tickers": [...]} or [...]."""
     item = "struct<ticker:string,sector:string,biz_code:string,name:string,exchange:string>"

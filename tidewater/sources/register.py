@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .files import ENVELOPE
 from .positions import numbered_lines
+from .tables import upsert
 
 INDEX = "content_hash string, name string, source_type string, batch_file string, line_no bigint, valid_at timestamp, captured_at timestamp, cycle_id string, status string, attempts int"
 RUNS = "cycle_id string, source_type string, captured_at timestamp, batch_file string, total bigint, new_rows bigint, dup_rows bigint"
@@ -74,12 +75,7 @@ def upsert_runs(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
     key = ["cycle_id", "source_type"]
     rest = [c for c in runs.columns if c not in key]
     new = runs.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_file").alias("x")).select(*key, "x.*")
-    spark.createDataFrame([], runs.schema).write.mode("append").partitionBy("cycle_id").parquet(path)
-    old = spark.read.schema(runs.schema).parquet(path)
-    others = old.join(new.select("cycle_id").distinct(), "cycle_id", "left_semi").join(new.select(*key), key, "left_anti")
-    both = others.unionByName(new)
-    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cycle_id").parquet(path)
-    return spark.read.schema(runs.schema).parquet(path)
+    return upsert(spark, path, new.select(*runs.columns), key, "cycle_id")
 
 
 def sweep(index: DataFrame, cutoff: Column) -> DataFrame:
