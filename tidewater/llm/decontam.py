@@ -6,6 +6,10 @@ k+1 neighbouring diagonals.  Shared q-grams are counted in overlapping bands of
 that some band holds them all; bands that reach the bound are verified by banded alignment.  Where L is
 too short for the bound to be positive, k is lowered; items shorter than q must occur exactly.
 
+A q-gram that an item holds more than OFTEN times counts once for each place of the text, in all bands from its first to
+its last diagonal, so repetitive texts and items make no more pairs than others.  Counting goes through
+the text in stretches that overlap by the longest item, PAIRS pairs at a time, so memory follows neither the text's length nor its repeats.
+
 Items of one pass are limited to BLOCK characters, so what is broadcast has a fixed bound; larger
 benchmarks take several passes over the text.  Null and empty texts, items that fold to nothing: no match.
 Repeated items each match.  Repeated rows: one result row each.
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, fresh, mix64
 
 Q = 12
+#: Places of a q-gram in an item that are told apart, pairs laid out at once, and least q-grams of a stretch.
+OFTEN, PAIRS, STRETCH = 8, 1 << 19, 1 << 15
 BUDGET = 0.05
 BLOCK = 4_000_000
 _BITS = 22
@@ -53,6 +59,15 @@ def grams(c: np.ndarray) -> np.ndarray:
     return mix64(h[:n] * m4 + four[8 : 8 + n])
 
 
+def summed(key: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with the sum of its changes; those of 0 left out."""
+    order = np.argsort(key, kind="stable")
+    key, change = key[order], change[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(change, first) if len(first) else change
+    return key[first][total != 0], total[total != 0]
+
+
 class Index:
     """q-grams of the items, with where they occur."""
 
@@ -70,11 +85,61 @@ class Index:
         h = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
         item = np.concatenate([np.full(len(g), i) for g, i in parts]) if parts else np.zeros(0, np.int64)
         pos = np.concatenate([np.arange(len(g)) for g, _ in parts]) if parts else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.item, self.pos = h[order], item[order].astype(np.int64), pos[order]
+        order = np.lexsort((pos, item, h))
+        h, item, self.pos = h[order], item[order].astype(np.int64), pos[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+        self.begin = np.flatnonzero(new)
+        self.n = np.diff(np.append(self.begin, len(h)))
+        # a group for each q-gram of an item
+        self.h, self.item, self.first, self.last = h[self.begin], item[self.begin], self.pos[self.begin], self.pos[self.begin + self.n - 1] if len(h) else self.pos
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.least = min((self.need[i] for _, i in parts), default=1)
+        self.width = np.asarray(self.k, np.int64) + 1
+        self.span = max((len(c) + k for c, k in zip(self.codes, self.k, strict=True)), default=0)
+
+    def events(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places and groups as (key, change): where in the order of side, item and band the count of shared q-grams rises and falls."""
+        few = self.n[group] <= OFTEN
+        a, g = at[few], group[few]
+        n = self.n[g]
+        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[g], n)
+        low = np.repeat(a, n) - self.pos[rank]
+        item = np.concatenate([np.repeat(self.item[g], n), self.item[group[~few]]])
+        high = np.concatenate([low, at[~few] - self.first[group[~few]]])
+        low = np.concatenate([low, at[~few] - self.last[group[~few]]])
+        w, keys = self.width[item], []
+        for side in (0, 1):  # bands [b*2w, (b+1)*2w) and the same moved by w
+            band = lambda d: (d + _SHIFT + side * w) // (2 * w)  # noqa: B023, E731
+            top = (item * 2 + side) << 32
+            keys += [top + band(low), top + band(high) + 1]
+        change = np.tile(np.repeat([1, -1], len(item)), 2)
+        return summed(np.concatenate(keys), change)
+
+    def bands(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item, side, band) that reach the bound with the given places."""
+        n = hi - lo
+        ends = np.cumsum(n)
+        key = change = np.zeros(0, np.int64)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            m = n[i:j]
+            for part in range(0, int(m.sum()), PAIRS):  # more than one only if a single place has that many groups
+                flat = np.arange(part, min(part + PAIRS, int(m.sum())))
+                row = np.searchsorted(np.cumsum(m), flat, "right")
+                group = flat - (np.cumsum(m) - m)[row] + lo[i:j][row]
+                k, c = self.events(at[i:j][row], group)
+                key, change = summed(np.concatenate([key, k]), np.concatenate([change, c]))
+            i = j
+        count = np.cumsum(change)
+        item, side = (key >> 33).astype(np.int64), (key >> 32) & 1
+        out = set()
+        for x in np.flatnonzero(count >= np.asarray(self.need, np.int64)[item]) if len(key) else ():
+            for band in range(int(key[x] & 0xFFFFFFFF), int(key[x + 1] & 0xFFFFFFFF)):
+                out.add((int(item[x]), int(side[x]), band))
+        return out
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in the folded text, the best region of each item and band."""
@@ -92,27 +157,19 @@ class Index:
         at, lo, hi = at[real], lo[real], hi[real]
         if len(at) < self.least:
             return out
-        n = hi - lo
-        where = np.repeat(at, n)
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        item, diag = self.item[rank], where - self.pos[rank]
-        width = np.asarray(self.k, np.int64)[item] + 1
-        shift = diag + _SHIFT
-        best: dict[int, list[tuple[int, int]]] = {}
-        for side in (0, 1):  # bands [b*2w, (b+1)*2w) and the same moved by w
-            key = item * (1 << 32) + (shift + side * width) // (2 * width)
-            uniq, first, count = np.unique(key, return_index=True, return_counts=True)
-            for u, f, m in zip(uniq, first, count):
-                i = int(item[f])
-                if m >= self.need[i]:
-                    w = self.k[i] + 1
-                    low = int(u & ((1 << 32) - 1)) * 2 * w - side * w - _SHIFT
-                    best.setdefault(i, []).append((low, low + 2 * w))
-        for i, bands in best.items():
-            for low, high in sorted(set(bands)):
-                got = align(self.codes[i], c, low, high, self.k[i])
-                if got:
-                    out.append((self.ids[i], *got))
+        found: set[tuple[int, int, int]] = set()
+        size = max(STRETCH, 2 * self.span)
+        for begin in range(0, len(g), size - self.span):
+            x, y = np.searchsorted(at, [begin, begin + size])
+            if y - x >= self.least:
+                found |= self.bands(at[x:y], lo[x:y], hi[x:y])
+            if begin + size >= len(g):
+                break
+        for i, side, band in sorted(found):
+            low = (2 * band - side) * int(self.width[i]) - _SHIFT
+            got = align(self.codes[i], c, low, low + 2 * int(self.width[i]), self.k[i])
+            if got:
+                out.append((self.ids[i], *got))
         return sorted(set(out))
 
 
