@@ -50,6 +50,7 @@ EXTRA = (
 )
 RULES = BASE + EXTRA
 _MOST = 64  # alternatives of a query
+_BITS = 62
 _GRAMS = 4  # trigrams of an alternative
 
 
@@ -105,16 +106,21 @@ def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(postings: DataFrame, trigrams: list[str], queries: dict[str, list[list[str]]]) -> DataFrame:
-    """(key, kinds): rules whose Boolean query the document's postings satisfy; postings intersect as bit sets."""
+    """(key, kinds): rules whose Boolean query the document's postings satisfy; postings intersect as bit sets, of 62 trigrams a column."""
     bit = {g: i for i, g in enumerate(trigrams)}
-    assert len(bit) <= 62, "more trigrams than bits of a long"
-    held = postings.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, gram)")).alias("held"))
+    words = range(-(-len(bit) // _BITS))
+    column = lambda w: F.bit_or(F.when(F.floor(F.col("gram") / _BITS) == w, F.expr(f"shiftleft(1L, gram % {_BITS})")).otherwise(F.lit(0).cast("long"))).alias(f"held{w}")
+    held = postings.groupBy("key").agg(*map(column, words))
     kinds = []
     for kind, alts in queries.items():
         ok = F.lit(False)
         for alt in alts:
-            mask = sum(1 << bit[g] for g in alt)
-            ok = ok | (F.col("held").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+            every = F.lit(True)
+            for w in words:
+                mask = sum(1 << bit[g] % _BITS for g in alt if bit[g] // _BITS == w)
+                if mask:
+                    every = every & (F.col(f"held{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+            ok = ok | every
         kinds.append(F.when(ok, F.lit(kind)))
     return held.select("key", F.filter(F.array(*kinds), lambda x: x.isNotNull()).alias("kinds")).where(F.size("kinds") > 0)
 
