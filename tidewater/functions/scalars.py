@@ -194,6 +194,26 @@ def legacy_edge_type(fact: Column) -> Column:
     return out
 
 
+def is_canonical(name: Column, aliases: dict[str, str]) -> Column:
+    """S-02: the name stands for itself."""
+    return F.coalesce(canonical_name(name, aliases) == name, F.lit(False))
+
+
+def canonical_names(names: Column, aliases: dict[str, str]) -> Column:
+    """S-02: of every name of an array, in order."""
+    return F.transform(names, lambda n: canonical_name(n, aliases))
+
+
+def types_meet(kinds: Column, wanted: list[str]) -> Column:
+    """U-05: some type is wanted, in any case."""
+    return F.coalesce(F.arrays_overlap(F.transform(kinds, lambda k: F.lower(k)), F.array(*[F.lit(w.lower()) for w in wanted])), F.lit(False))
+
+
+def with_core_types(allowed: Column, core: list[str]) -> Column:
+    """U-06: a map of allowed edge types, each list followed by the core types that it lacks."""
+    return F.transform_values(allowed, lambda _, v: F.array_distinct(F.concat(v, F.array(*map(F.lit, core)))))
+
+
 def truncate_leaked(text: Column) -> Column:
     """S-25: cut at the first leak marker, then quotes and spaces off both ends; empty becomes null."""
     cut = F.regexp_replace(text, "(?is)(?:" + "|".join(vocab.LEAK_MARKERS) + ").*$", "")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from .relational import fresh_name
 
 
 @dataclass(frozen=True)
@@ -53,9 +54,15 @@ def magnitude_at_least(value: Column, least: float) -> Column:
 def with_support(events: DataFrame, mentions: DataFrame, key: str, least: int) -> DataFrame:
     """F-03, A-04, J-01: adds n_mentions; keeps those with enough, or all if there are no mentions at all."""
     n = mentions.groupBy(key).agg(F.count("*").alias("n_mentions"))
-    some = mentions.limit(1).agg((F.count("*") > 0).alias("_some"))
+    some_name = fresh_name(events, "some_mentions")
+    some = mentions.limit(1).agg((F.count("*") > 0).alias(some_name))
     out = events.join(n, key, "left").withColumn("n_mentions", F.coalesce("n_mentions", F.lit(0).cast("long")))
-    return out.crossJoin(F.broadcast(some)).where((F.col("n_mentions") >= least) | ~F.col("_some")).drop("_some")
+    return out.crossJoin(F.broadcast(some)).where((F.col("n_mentions") >= least) | ~F.col(some_name)).drop(some_name)
+
+
+def filter_events(events: DataFrame, mentions: DataFrame, cfg: FilterConfig, key: str, code: str, score: str) -> DataFrame:
+    """F-04: the three filters in turn, with n_mentions; none of them is asked about rows that an earlier one drops."""
+    return with_support(events.where(code_matches(F.col(code), cfg.mode, cfg.codes) & magnitude_at_least(F.col(score), cfg.min_abs)), mentions, key, cfg.min_count)
 
 
 def relevant(host: Column, themes: Column, domains: list[str] | None = None, keywords: list[str] | None = None, fix_case: bool = False) -> Column:
@@ -95,7 +102,8 @@ def fresh_or_latest(df: DataFrame, key: list[str], ts: str, now: Column, days: i
     w = Window.partitionBy(*key)
     newest = F.row_number().over(w.orderBy(F.desc(ts), *[c for c in df.columns if c != ts]))
     any_fresh = F.max(fresh(F.col(ts), now, days)).over(w)
-    return df.withColumns({"_n": newest, "_f": any_fresh}).where(fresh(F.col(ts), now, days) | ((F.col("_n") == 1) & ~F.col("_f"))).drop("_n", "_f")
+    n, f = fresh_name(df, "nth"), fresh_name(df, "any_fresh")
+    return df.withColumns({n: newest, f: any_fresh}).where(fresh(F.col(ts), now, days) | ((F.col(n) == 1) & ~F.col(f))).drop(n, f)
 
 
 def blocked_page(status: Column, html: Column) -> Column:
@@ -119,8 +127,9 @@ def present(value: Column) -> Column:
 
 def written_already(episodes: DataFrame, written: DataFrame, body_hash: str, name: str) -> DataFrame:
     """F-18: rows whose hash's first 12 signs end the name of a written episode."""
-    tails = written.select(F.right(F.col(name), F.lit(12)).alias("_tail")).distinct()
-    return episodes.withColumn("_tail", F.left(F.col(body_hash), F.lit(12))).join(tails, "_tail", "left_semi").drop("_tail")
+    tail = fresh_name(episodes, "tail")
+    tails = written.select(F.right(F.col(name), F.lit(12)).alias(tail)).distinct()
+    return episodes.withColumn(tail, F.left(F.col(body_hash), F.lit(12))).join(tails, tail, "left_semi").select(*episodes.columns)
 
 
 def unclassified(severity: Column) -> Column:

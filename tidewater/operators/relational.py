@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scalars as S
 from ..functions import vocab
@@ -113,13 +116,22 @@ def error_streaks(df: DataFrame, key: str, at: list, ok: str) -> DataFrame:
 
 
 def keyword_counts(df: DataFrame, key: str, text: Column, n: int = 8, least: int = 3, title: Column | None = None) -> DataFrame:
-    """A-10: most frequent words, ties by first occurrence, stop words out; words of a title count twice."""
+    """A-10: most frequent words of each row, ties by first occurrence, stop words out; words of a title count twice.
+
+    Counted within the row: its words are sorted, and the lengths of the runs of equal words are their counts.
+    """
     text = text if title is None else F.concat_ws(" ", title, title, text)
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z\\u4e00-\\u9fff]{%d,}" % least), F.lit(0))
-    d = df.select(key, F.posexplode(words).alias("pos", "word")).where(~F.col("word").isin(vocab.STOP_WORDS))
-    d = d.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "first")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(key, "word", "n", "rank")
+    stop = F.array(*map(F.lit, vocab.STOP_WORDS))
+    placed = F.array_sort(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.array_contains(stop, x["w"])))
+    d = df.select(F.col(key).alias("key"), placed.alias("s")).where(F.size("s") > 0)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(F.transform("s", lambda x: x["w"]), F.lit(1), F.size("s") - 1))
+    runs = F.filter(F.transform(F.arrays_zip(F.col("s").alias("x"), before.alias("b")), lambda z, at: F.struct(z["x"]["w"].alias("w"), z["x"]["i"].alias("i"), at.alias("at"), (~z["x"]["w"].eqNullSafe(z["b"])).alias("new"))), lambda r: r["new"])
+    d = d.select("key", F.size("s").alias("size"), runs.alias("r"))
+    until = F.concat(F.slice(F.transform("r", lambda x: x["at"]), F.lit(2), F.size("r")), F.array("size"))
+    counted = F.transform(F.arrays_zip(F.col("r").alias("x"), until.alias("u")), lambda z: F.struct((z["x"]["at"] - z["u"]).alias("less"), z["x"]["i"].alias("i"), z["x"]["w"].alias("w")))
+    d = d.select("key", F.posexplode(F.slice(F.array_sort(counted), 1, n)).alias("at", "c"))
+    return d.select(F.col("key").alias(key), F.col("c.w").alias("word"), (-F.col("c.less")).cast("long").alias("n"), (F.col("at") + 1).alias("rank"))
 
 
 def dominant(df: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
@@ -153,21 +165,29 @@ def fingerprint(item: Column, length: int = 16) -> Column:
 
 
 def pack(df: DataFrame, key: str, order: str, size: str, most_rows: int = 8, budget: int = 24_000) -> DataFrame:
-    """W-07: rows of a key packed in order into chunks of at most most_rows rows and budget characters."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    none = F.array().cast("array<struct<o:bigint,chunk:int>>")
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("used"), none.alias("out"))
-
-    def step(a, x):
-        new = (a["rows"] >= most_rows) | ((a["rows"] > 0) & (a["used"] + x["s"] > budget))
-        chunk = a["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            chunk.alias("chunk"), F.when(new, 1).otherwise(a["rows"] + 1).alias("rows"), F.when(new, x["s"]).otherwise(a["used"] + x["s"]).alias("used"),
-            F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), chunk.alias("chunk")))).alias("out"),
-        )
-
-    packed = df.groupBy(key).agg(items.alias("i")).select(key, F.explode(F.aggregate("i", zero, step, lambda a: a["out"])).alias("x"))
-    return packed.select(key, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
+    """W-07: (key, order, chunk) of rows of a key packed in order into chunks of at most most_rows rows and budget characters.
+
+    A chunk depends on all rows before it, so a key's rows pass through one task in order, a batch at a time; none are held.
+    """
+    d = df.select(F.col(key), F.col(order).cast("long").alias(order), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("packed_size"))
+    out = StructType([d.schema[key], d.schema[order], StructField("chunk", IntegerType())])
+    fields = to_arrow_schema(out)
+
+    def run(batches):
+        now, chunk, rows, used = (False, None), 0, 0, 0
+        for b in batches:
+            chunks = []
+            for k, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if now != (True, k):
+                    now, chunk, rows, used = (True, k), 0, 0, 0
+                elif rows >= most_rows or used + s > budget:
+                    chunk, rows, used = chunk + 1, 0, 0
+                rows, used = rows + 1, used + s
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chunks, pa.int32())], schema=fields)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, key).sortWithinPartitions(key, order, "packed_size").mapInArrow(run, out)
 
 
 def first_severity(df: DataFrame, sectors: str, severity: str, order: list[str], default: str = "综合") -> DataFrame:

@@ -501,9 +501,13 @@ def q55_metadata_json_predicate(spark, sf):
     return _t(spark, sf, "events").where(k > 50).select("event_id", k.alias("k"), F.contains("props", F.lit("9")).alias("has"))
 
 
-@q()
+@q("""with recursive o as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id, n_chars) as i from documents),
+p as (select source, i, doc_id, 0 as chunk, 1 as n, n_chars as used from o where i = 1 union all
+select o.source, o.i, o.doc_id, case when n >= 8 or used + n_chars > 24000 then chunk + 1 else chunk end, case when n >= 8 or used + n_chars > 24000 then 1 else n + 1 end, case when n >= 8 or used + n_chars > 24000 then n_chars else used + n_chars end
+from p join o on o.source is not distinct from p.source and o.i = p.i + 1)
+select source, doc_id, chunk from p""")
 def q56_translation_chunk_pack(spark, sf):
-    """W-07: a fold, so no SQL; a test checks it."""
+    """W-07."""
     return R.pack(_t(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
 
 

@@ -6,16 +6,19 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import articles as A
+from ..functions import scalars as S
 from ..operators import answers as W
 from ..operators import audit as U
 from ..operators import briefings as B
 from ..operators import filters as X
 from ..operators import graph as G
 from ..operators import records as C
+from ..operators import state as Q
 from ..sources import files as IO
 from ..sources import tables as T
 from ..streaming.watch import fetched_only
 from .answers import NOW, _episodes, _entities, _LOW
+from .catalogue import _CUR, _log
 from .registry import folder, q
 from .registry import table as _t
 
@@ -372,3 +375,58 @@ def q151_media_and_leak_flags(spark, sf):
     name = F.when(k % 3 == 0, "the REUTERS desk").otherwise("somebody")
     text = F.when(k % 4 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" [end of content] more"))).otherwise("plain")
     return _t(spark, sf, "documents").select("doc_id", X.is_medium(name).alias("medium"), X.has_leak(text).alias("leak"))
+
+
+# queue operations, config and small forms
+
+
+@q(f"with {_CUR} select content_hash, seq + 1 as seq, 'done' as status from cur where status = 'processing' and owner = 'w1'")
+def q152_finish_own_rows(spark, sf):
+    """X-03: only the owner's rows in process."""
+    log = _log(spark, sf)
+    return Q.finish(log, log.select("content_hash").distinct(), "w1", F.expr(NOW)).select("content_hash", "seq", "status")
+
+
+@q(f"with {_CUR} select content_hash, seq + 1 as seq, 'pending' as status, 0 as attempts from cur where status = 'done'")
+def q153_replay_from_zero(spark, sf):
+    """X-09."""
+    log = _log(spark, sf)
+    return Q.replay(log, Q.current(log).where("status = 'done'").select("content_hash"), F.expr(NOW)).select("content_hash", "seq", "status", "attempts")
+
+
+@q("""with e as (select o_orderkey as id, 'C' || o_custkey as src, 'D' || (o_orderkey % 9) as dst from orders), m as (select distinct l_suppkey as ep, l_orderkey as id from lineitem)
+select distinct ep as episode_id, unnest([src, dst]) as entity from m join e using (id)""")
+def q154_episode_entities(spark, sf):
+    """J-08, A-05, U-02, R-04 (quirk Q4: each once)."""
+    edges = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), _s("o_custkey")).alias("src"), F.concat(F.lit("D"), (F.col("o_orderkey") % 9).cast("string")).alias("dst"))
+    # an episode's edges in runs of a hundred orders, so that no list grows with the table
+    episodes = _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("episode_id"), F.floor(F.col("l_orderkey") / 100).alias("run")).agg(F.collect_set("l_orderkey").alias("entity_edges"))
+    return G.episode_entities(episodes, edges)
+
+
+@q("""with e as (select o_orderkey, '0' || substr(o_orderpriority, 1, 1) || '1' as code, (o_totalprice - 250000) / 25000 as g from orders), n as (select l_orderkey, count(*) as n from lineitem group by 1)
+select o_orderkey, n as n_mentions from e join n on l_orderkey = o_orderkey where substr(code, 1, 2) in ('01', '03') and abs(g) >= 5 and n >= 2""")
+def q155_configured_filter(spark, sf):
+    """F-04, F-05: parts of the configuration that are wrong or missing fall back to the defaults."""
+    raw = {"cameo_filter": {"mode": "odd", "codes": ["01", "03"]}, "goldstein": {"min_abs_value": -1}, "mentions": {"min_count": 2}}
+    e = _t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("0"), F.substring("o_orderpriority", 1, 1), F.lit("1")).alias("code"), F.expr("(o_totalprice - 250000) / 25000").alias("g"))
+    m = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return X.filter_events(e, m, X.FilterConfig.of(raw), "o_orderkey", "code", "g").select("o_orderkey", "n_mentions")
+
+
+@q("""select c_custkey, c_custkey % 3 = 0 as article, case when c_custkey % 2 = 0 then 'A,AFFECTS,PART_OF' else 'PART_OF,B,AFFECTS' end as allowed, concat(c_name, ',', case when c_custkey % 2 = 0 then 'Alias Firm' else 'Plain' end) as names, c_custkey % 2 <> 0 as canonical, concat('n:', c_name, ',n:x') as labelled,
+case when c_custkey % 2 = 0 then 'a=1,z=9' else 'a=1,b=2,z=9' end as merged from customer""")
+def q156_array_and_map_forms(spark, sf):
+    """S-02, U-05, U-06, R-02, R-03, R-06."""
+    k = F.col("c_custkey")
+    aliases = {"short": "Alias Firm"}
+    two = F.when(k % 2 == 0, "short").otherwise("Plain")
+    allowed = F.create_map(F.lit("x"), F.when(k % 2 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("PART_OF"), F.lit("B"))))
+    flat = F.flatten(F.array(F.array("c_name"), F.array(F.lit("x"))))
+    known = F.map_filter(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.when(k % 2 == 1, "2")), lambda _, v: v.isNotNull())
+    merged = F.map_concat(known, F.create_map(F.lit("z"), F.lit("9")))
+    core = S.with_core_types(allowed, ["AFFECTS", "PART_OF"])["x"]
+    return _t(spark, sf, "customer").select(
+        "c_custkey", S.types_meet(F.when(k % 3 == 0, F.array(F.lit("Thing"), F.lit("NewsArticle"))).otherwise(F.array(F.lit("Thing"))), ["newsarticle"]).alias("article"), F.array_join(core, ",").alias("allowed"),
+        F.array_join(S.canonical_names(F.array(F.col("c_name"), two), aliases), ",").alias("names"), S.is_canonical(two, aliases).alias("canonical"), F.array_join(F.transform(flat, lambda n: F.concat(F.lit("n:"), n)), ",").alias("labelled"),
+        F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("merged"))
