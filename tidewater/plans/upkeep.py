@@ -24,31 +24,31 @@ PHASES = (
 )
 
 
-def _commands(orders, phase):
+def _commands(customers, phase):
     at = lambda m: F.expr(f"{START} + interval {m} minutes")
     kinds = F.array(*[
         F.struct(F.lit(k).cast("int").alias("k"), at(m).alias("at"), F.lit(kind).alias("kind"), F.lit(owner).cast("string").alias("owner"), (at(until) if until else F.lit(None).cast("timestamp")).alias("until"))
         for k, m, kind, owner, until in phase
     ])
-    d = orders.select("o_orderkey", F.explode(kinds).alias("x")).where("x.k is null or x.k = o_orderkey % 6")
-    return d.select(F.concat(F.lit("h"), F.col("o_orderkey").cast("string")).alias("content_hash"), "x.at", "x.kind", "x.owner", "x.until")
+    d = customers.select("c_custkey", F.explode(kinds).alias("x")).where("x.k is null or x.k = c_custkey % 6")
+    return d.select(F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("content_hash"), "x.at", "x.kind", "x.owner", "x.until")
 
 
-@q("""select concat('h', o_orderkey) as content_hash, case o_orderkey % 6 when 0 then 2 when 1 then 2 when 2 then 5 when 3 then 4 when 4 then 4 else 8 end as seq,
-case o_orderkey % 6 when 0 then 'done' when 1 then 'skipped' when 2 then 'done' when 3 then 'pending' when 4 then 'skipped' else 'dead' end as status, case o_orderkey % 6 when 2 then 1 when 5 then 3 else 0 end as attempts from orders""")
+@q("""select concat('h', c_custkey) as content_hash, case c_custkey % 6 when 0 then 2 when 1 then 2 when 2 then 5 when 3 then 4 when 4 then 4 else 8 end as seq,
+case c_custkey % 6 when 0 then 'done' when 1 then 'skipped' when 2 then 'done' when 3 then 'pending' when 4 then 'skipped' else 'dead' end as status, case c_custkey % 6 when 2 then 1 when 5 then 3 else 0 end as attempts from customer""")
 def q117_queue_as_stream(spark, sf):
     """X-02 to X-06, §2.11: claims, outcomes, lapsed leases and back-offs as a stream with timers, in two runs from one checkpoint."""
     from ..streaming.queue import COMMAND, run_queue
 
-    base, orders = folder(spark, "queue-stream"), _t(spark, sf, "orders")
+    base, keys = folder(spark, "queue-stream"), _t(spark, sf, "customer")
 
     def run():
         return run_queue(spark.readStream.schema(COMMAND).option("maxFilesPerTrigger", 8).parquet(f"{base}/in"), f"{base}/state", f"{base}/log", most=3, late="10 minutes")
 
-    _commands(orders, PHASES[0]).write.parquet(f"{base}/in")
+    _commands(keys, PHASES[0]).write.parquet(f"{base}/in")
     run()
     for phase in PHASES[1:]:
-        _commands(orders, phase).write.mode("append").parquet(f"{base}/in")
+        _commands(keys, phase).write.mode("append").parquet(f"{base}/in")
     tick = spark.range(1).selectExpr("cast(null as string) content_hash", f"{START} + interval 1 day as at", "'tick' as kind", "cast(null as string) owner", "cast(null as timestamp) until")
     tick.write.mode("append").parquet(f"{base}/in")
     return Q.current(run()).select("content_hash", "seq", "status", "attempts")
