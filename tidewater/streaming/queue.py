@@ -9,9 +9,11 @@ them, so the log is the same for every cut of the stream into batches.  Output:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -117,6 +119,7 @@ def run_machine(commands: DataFrame, most: int = 3, late: str = "1 minute") -> D
 
     A row without a content_hash only moves the time on.
     """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the stream's own runner doesn't read files added to the session
     ms = lambda c: F.unix_millis(F.col(c))
     d = commands.withWatermark("at", late).select("content_hash", "at", "kind", "owner", ms("at").alias("at_ms"), ms("until").alias("until_ms"))
     out = d.groupBy("content_hash").transformWithStateInPandas(QueueMachine(most), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
