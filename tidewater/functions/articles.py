@@ -7,6 +7,7 @@ built-in regular expressions, so that only the scripts and not the pages go to P
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,3 +126,33 @@ def front_matter(text: Column) -> Column:
     pairs = F.transform(flat, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[\w-]+:\s+(.*)$", 1)), r"""^(["'])(.*)\1$""", "$2").alias("v")))
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
     return F.struct(F.regexp_replace(text, FRONT, "").alias("body"), F.when(F.rlike(text, F.lit(FRONT)), last).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
+def _plain(x):
+    """A YAML value in JSON's terms: keys, dates and numbers that JSON lacks become texts."""
+    if isinstance(x, dict):
+        return {str(k): _plain(v) for k, v in x.items()}
+    if isinstance(x, (list, set)):
+        return [_plain(v) for v in x]
+    return x if x is None or isinstance(x, (bool, int, str)) or isinstance(x, float) and math.isfinite(x) else str(x)
+
+
+def front_matter_tree(text: Column) -> Column:
+    """S-37: struct (body, metadata): as front_matter, but metadata is the JSON of all of it, lists and nested maps too.  Needs PyYAML.
+
+    Metadata that can't be read, or is no map, is `{}`.
+    """
+    @F.pandas_udf("string")
+    def tree(block: pd.Series) -> pd.Series:
+        import yaml
+
+        def one(raw):
+            try:
+                found = yaml.safe_load(raw) if raw else None
+                return json.dumps(_plain(found), ensure_ascii=False) if isinstance(found, dict) else "{}"
+            except (yaml.YAMLError, ValueError, TypeError, RecursionError):
+                return "{}"
+
+        return block.map(one)
+
+    return F.struct(F.regexp_replace(text, FRONT, "").alias("body"), tree(F.regexp_extract(text, FRONT, 1)).alias("metadata"))

@@ -113,3 +113,28 @@ THEME_PREFIXES = {
     "MEDIA_": "Media",
     "MANMADE_DISASTER": "Manmade Disaster",
 }
+
+# Fixed values of the yield curve's text: terms in order, the spread's name, a sentence for each shape.
+CURVE_TERMS = {
+    "1mo": "1个月期", "3mo": "3个月期", "6mo": "6个月期", "1yr": "1年期", "2yr": "2年期", "3yr": "3年期", "5yr": "5年期", "7yr": "7年期", "10yr": "10年期",
+    "20yr": "20年期", "30yr": "30年期",
+}
+CURVE_LISTED = ["3mo", "6mo", "1yr", "2yr", "3yr", "5yr", "7yr", "10yr", "20yr", "30yr"]
+CURVE_SPREAD = "2s10s利差"
+CURVE_SHAPES = {"normal": "收益率曲线形态正常，无倒挂风险信号。", "flat": "收益率曲线形态趋平，接近倒挂区间。", "inverted": "收益率曲线形态倒挂，倒挂是衰退预警信号。"}
+
+# Fixed values of China's series: name, unit and meaning where told as a sentence; name, unit and frequency where listed.
+CHINA_TOLD = {
+    "gdp": ("GDP（国内生产总值）", "亿元", "衡量中国经济总体规模的核心指标"),
+    "cpi": ("CPI（居民消费价格指数）", "%", "衡量通胀水平的核心指标"),
+    "ppi": ("PPI（工业生产者出厂价格指数）", "%", "衡量工业品价格变化，反映上游成本压力"),
+    "pmi": ("PMI（官方制造业采购经理指数）", "", "50以上为扩张区间，以下为收缩区间"),
+    "caixin_pmi": ("PMI（财新制造业采购经理指数）", "", "偏向中小企业，与官方PMI互为补充"),
+}
+CHINA_LISTED = {
+    "gdp": ("GDP", "亿元", "quarterly"),
+    "cpi": ("CPI", "%", "monthly"),
+    "ppi": ("PPI", "%", "monthly"),
+    "pmi": ("PMI (Official Manufacturing)", "", "monthly"),
+    "caixin_pmi": ("PMI (Caixin Manufacturing)", "", "monthly"),
+}

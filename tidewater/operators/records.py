@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import vocab
 
 
 def _text(c: Column | str) -> Column:
@@ -122,6 +123,67 @@ def series_body(source: str, series: Column, name: Column, day: Column, value: C
     return _lines(F.concat(F.lit(f"## {source}: "), name, F.lit(" ("), series, F.lit(")\n")), F.concat(F.lit("- Observation date: "), day), F.concat(F.lit("- Latest value: "), value, F.lit(" "), units), told, tail)
 
 
+def notice_body(title: Column, content: Column) -> Column:
+    """S-20 of telegraphs and announcements: the content follows if it is longer than the title."""
+    title, content = _text(title), _text(content)
+    return F.when(F.length(content) > F.length(title), F.concat(title, F.lit("\n\n"), content)).otherwise(title)
+
+
+def _curve(rates: Column) -> tuple[Column, Column]:
+    """The spread of ten over two years in basis points and the curve's shape, both null without the two rates."""
+    two, ten = rates["2yr"], rates["10yr"]
+    return (ten - two) * 100, F.when(two.isNotNull() & ten.isNotNull(), S.curve_shape(two, ten))
+
+
+def curve_text(rates: Column, day: Column) -> Column:
+    """S-20 of Treasury yields as sentences; rates: map of term to percent.  Terms without a name are left out; null without any rate."""
+    items = [F.concat(F.lit(name), F.format_string("%.2f%%", rates[term])) for term, name in vocab.CURVE_TERMS.items()]
+    told = [F.when(rates[term].isNotNull(), item) for term, item in zip(vocab.CURVE_TERMS, items)]
+    spread, shape = _curve(rates)
+    sentence = F.create_map(*[F.lit(x) for kv in vocab.CURVE_SHAPES.items() for x in kv])[shape]
+    tail = F.concat(F.lit(vocab.CURVE_SPREAD), F.when(spread > 0, "+").otherwise(""), F.format_string("%.0fbp，", spread), sentence)
+    head = F.concat(F.lit("美国国债收益率曲线（"), day, F.lit("）："), F.array_join(F.array_compact(F.array(*told)), "，"), F.lit("。"))
+    return F.when(F.size(rates) > 0, F.concat(head, F.when(shape.isNotNull(), tail).otherwise("")))
+
+
+def curve_list(rates: Column, day: Column) -> Column:
+    """S-20 of Treasury yields as a list, where terms have no names; null without any rate."""
+    rows = [F.when(rates[t].isNotNull(), F.concat(F.lit(f"- {t}: "), F.format_string("%.2f%%", rates[t]))) for t in vocab.CURVE_LISTED]
+    spread, shape = _curve(rates)
+    tail = F.when(shape.isNotNull(), F.concat(F.format_string("Spread (2s10s): %.1f bp | Shape: ", spread), shape))
+    return F.when(F.size(rates) > 0, _lines(F.concat(F.lit("## US Treasury Yield Curve — "), day, F.lit("\n")), *rows, F.lit(""), tail))
+
+
+def _of(indicator: Column, table: dict[str, tuple[str, ...]], i: int) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v[i])])[indicator] if table else F.lit(None).cast("string")
+
+
+def china_body(indicator: Column, value: Column, day: Column, told: dict[str, tuple[str, str, str]] | None = None) -> Column:
+    """S-20 of China's series: a sentence for the indicators in `told` (name, unit, meaning), a list for others.
+
+    Growth of `gdp` is told as such whatever its unit.  A value that is null or no number has no body.
+    """
+    told = vocab.CHINA_TOLD if told is None else told
+    two = F.format_string("%.2f", value)
+    name, unit, meaning = (_of(indicator, told, i) for i in range(3))
+    amount = F.when(indicator == "gdp", F.concat(F.lit("同比增长"), two, F.lit("%"))).otherwise(F.concat(two, unit))
+    stop = F.when((meaning == "") | F.endswith(meaning, F.lit("。")), "").otherwise("。")
+    sentence = F.concat(F.lit("中国"), F.coalesce(F.nullif(name, F.lit("")), indicator), F.lit("，"), day, F.lit("："), amount, F.lit("。"), meaning, stop)
+    listed_unit = F.coalesce(_of(indicator, vocab.CHINA_LISTED, 1), F.lit(""))
+    mark = lambda *cases: F.coalesce(*[F.when(c, f"**Interpretation**: {text}") for c, text in cases])
+    pmi, cpi, ppi = indicator.isin("pmi", "caixin_pmi"), indicator == "cpi", indicator == "ppi"
+    meant = mark(
+        (pmi & (value > 50), "Expansion (above 50 threshold)"), (pmi, "Contraction (below 50 threshold)"), (cpi & (value > 3), "High inflation (above 3% target)"), (cpi & (value < 0), "Deflation (negative CPI)"),
+        (cpi, "Moderate inflation"), (ppi & (value > 0), "Producer price inflation"), (ppi, "Producer price deflation"),
+    )
+    listed = _lines(
+        F.concat(F.lit("## China "), F.coalesce(_of(indicator, vocab.CHINA_LISTED, 0), indicator), F.lit(" — "), day, F.lit("\n")),
+        F.concat(F.lit("- Value: "), two, F.when(listed_unit != "", F.concat(F.lit(" "), listed_unit)).otherwise("")),
+        F.concat(F.lit("- Frequency: "), F.coalesce(_of(indicator, vocab.CHINA_LISTED, 2), F.lit("unknown"))), F.lit(""), meant,
+    )
+    return F.when(value.isNotNull() & ~F.isnan(value), F.when(name.isNotNull(), sentence).otherwise(listed))
+
+
 def conflict_body(most: int = 500) -> Column:
     """S-20 of conflict events; notes over `most` characters are cut."""
     notes = _text("notes")

@@ -152,3 +152,22 @@ def entity_suffix(entities: Column) -> Column:
 
     head = F.lit("\n[END OF CONTENT]\n\nPRE-EXTRACTED ENTITIES (for reference):\n")
     return F.when(F.coalesce(F.size(entities), F.lit(0)) <= 0, "").otherwise(F.concat(head, F.array_join(F.transform(entities, line), "\n")))
+
+
+def sector_names(sectors: Column) -> Column:
+    """S-30: the sectors (name, aliases) in one line, each with its first ASCII alias."""
+    def one(s: Column) -> Column:
+        plain = F.filter(s["aliases"], lambda a: F.rlike(a, F.lit(r"^[\x00-\x7F]*$")))
+        return F.concat(s["name"], F.coalesce(F.concat(F.lit(" ("), F.get(plain, F.lit(0)), F.lit(")")), F.lit("")))
+
+    return F.array_join(F.transform(sectors, one), ", ")
+
+
+def extraction_rules(stock: Column, of_stocks: Column, of_others: Column, entities: Column) -> Column:
+    """S-30: what a model is told beside a body: the caller's rules for stock or other sources, then the episode's own names, if it has any."""
+    # Leaked rules are recognized by these headings (S-25).
+    head = "\n\nENTITY RESOLUTION RULES:\n1. Use the canonical names listed below as the preferred forms for entity resolution\n2. Do NOT add or remove suffixes (Ltd, Inc, Corp, 控股, etc.)\n3. If the same entity appears with different names, use the FIRST name listed\n\nCANONICAL ENTITY NAMES:\n"
+    name = lambda e: F.concat(F.lit("- "), F.coalesce(e["name"], F.lit("")), F.when(e["ticker"] != "", F.concat(F.lit(" ("), e["ticker"], F.lit(")"))).otherwise(""))
+    own = F.concat(F.lit(head), F.array_join(F.transform(entities, name), "\n"))
+    rules = F.when(stock, of_stocks).otherwise(of_others)
+    return F.when(F.coalesce(F.size(entities), F.lit(0)) <= 0, rules).otherwise(F.concat(rules, own))

@@ -33,7 +33,7 @@ def folder(spark: SparkSession, tag: str) -> str:
 
 
 def _load() -> None:
-    from . import answers, catalogue, landed, reports, runs, upkeep, values  # noqa: F401
+    from . import answers, catalogue, jobs, landed, reports, runs, upkeep, values  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
