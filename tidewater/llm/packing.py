@@ -8,7 +8,8 @@ windows of exactly a power of two are tried besides.  A block of documents of so
 bounded by the block and the longest text; a longer document is solved in stretches of BLOCK tokens.
 
 Text is encoded word by word: the tokenizer never joins tokens across white space, nor a letter with the
-sign behind it, so each distinct word of a batch is encoded once.  Texts that hold a string of an added token are encoded whole.
+sign behind it, so each distinct word is encoded once and looked up from then on.  Texts that hold a string of an added token,
+in whichever case, are encoded whole.
 
 Null or empty text: only the end token.  Null id: stays null.  Repeated rows: packed each for itself.  Empty table: no piece.
 Ties: the longest window of equally cheap ones, powers of two only where cheaper.  Other columns are not read.
@@ -17,8 +18,9 @@ Ties: the longest window of equally cheap ones, powers of two only where cheaper
 from __future__ import annotations
 
 import os
-from collections import deque
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,13 @@ SIZE, END = 4096, 2
 #: Costs of a cut, in tokens of padding.
 AT_SENTENCE, IN_SENTENCE = 2, 8
 GRID, BLOCK = 64, 1 << 19
-#: Distinct words whose tokens a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 48
+#: Distinct words that a worker remembers, and how many tokens of them.
+REMEMBERED, REMEMBERED_TOKENS = 600_000, 4_000_000
+#: Letters that are one letter each in every normal form and lower-case to one; what the model takes for their bytes.
+LETTERS = re.compile("[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+BYTES = {c: "".join(chr(b if b in range(0xA1, 0xAD) or b >= 0xAE else 0x121 + b - 0x7F if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+#: A letter before a sign other than the apostrophe: no token spans both.
+LETTER_SIGN = "([a-z\xdf-\xf6\xf8-\xff])([!-&(-/:-@\\[-`{-~])"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
@@ -45,6 +52,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to first[i] + n[i] - 1 of each i, one after another."""
+    before = np.cumsum(n) - n
+    return np.repeat(first - before, n) + np.arange(n.sum())
+
+
 class Encoder:
     """Tokens of whole texts, equal to the tokenizer's own; distinct words are encoded once."""
 
@@ -54,46 +67,73 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.forget()
         signs, letters = set(".!?"), self.whole.get_vocab()
         self.ends_sentence = np.zeros(max(letters.values()) + 1, bool)
         for s, i in letters.items():
             s = s.removesuffix("</w>")
             self.ends_sentence[i] = bool(s) and not any(c.isalnum() for c in s) and bool(signs & set(s))
 
-    def of_words(self, words: list[str]) -> list[list[int]]:
-        out, odd = [self.known.get(w) for w in words], []
+    def forget(self) -> None:
+        """Known words; the tokens of word i are flat[first[i] : first[i] + n[i]]; which were met again."""
+        self.known, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.first, self.n, self.again = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def bound(self) -> None:
+        """Beyond the bounds, words that were met again stay, if they fill no more than half of them."""
+        if len(self.known) <= REMEMBERED and len(self.flat) <= REMEMBERED_TOKENS:
+            return
+        keep = np.flatnonzero(self.again)
+        n = self.n[keep]
+        if 2 * len(keep) > REMEMBERED or 2 * n.sum() > REMEMBERED_TOKENS:
+            return self.forget()
+        self.flat, self.known = self.flat[ranges(self.first[keep], n)], self.known.take(pa.array(keep))
+        self.first, self.n, self.again = np.cumsum(n) - n, n, np.zeros(len(keep), bool)
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        out, odd = [], []
         for i, w in enumerate(words):
-            if out[i] is None:
-                if w.isascii() and w.isalpha() and w.islower():
-                    out[i] = [t.id for t in self.model.tokenize(w)]
-                else:
-                    odd.append(i)
+            if LETTERS.fullmatch(w):
+                out.append([t.id for t in self.model.tokenize(w if w.isascii() else w.lower().translate(BYTES))])
+            else:
+                out.append([])
+                odd.append(i)
         for i, e in zip(odd, self.whole.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = e.ids
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.known.update((w, x) for w, x in zip(words, out, strict=True) if len(w) <= LONGEST)
         return out
 
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """Where the words stand among the known ones, to which new ones are added."""
+        self.bound()
+        at = pc.index_in(words, value_set=self.known)
+        new = at.is_null()
+        fresh = words.filter(new).dictionary_encode()
+        new, at = new.to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        self.again[at[~new]] = True
+        at[new] = len(self.known) + fresh.indices.to_numpy()
+        ids = self.encode(fresh.dictionary.to_pylist())
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known = pa.concat_arrays([self.known, fresh.dictionary])
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
+        self.n, self.again = np.concatenate([self.n, n]), np.concatenate([self.again, np.zeros(len(n), bool)])
+        return at
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's end among them)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.ascii_lower(texts)
         special = np.zeros(len(texts), bool)
         for s in self.added:
-            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
-        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z])([.,;:!?])", r"\1 \2")
-        lists = pc.ascii_split_whitespace(plain)
-        coded = lists.flatten().dictionary_encode()
-        words = self.of_words(coded.dictionary.to_pylist())
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter((i for w in words for i in w), np.uint32, int(n.sum()))
-        first, at = np.cumsum(n) - n, coded.indices.to_numpy()
-        each = n[at] if len(at) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(first[at] - before[:-1], each) + np.arange(before[-1])] if len(at) else np.zeros(0, np.uint32)
+            special |= pc.match_substring(plain, s).to_numpy(zero_copy_only=False)
+        if special.any():
+            plain = pc.if_else(pa.array(special), "", plain)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, LETTER_SIGN, r"\1 \2"))
+        at = self.of_words(lists.flatten())
+        n = self.n[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[ranges(self.first[at], n)]
         ends = before[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
         if special.any():
             parts = np.split(ids, ends[:-1])
@@ -127,31 +167,38 @@ def places(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray) -> tupl
 def cuts(at: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     """The places of at, its last one included, where the cheapest windows end. at begins with 0 and has no gap over `size`."""
     n, powers = len(at), [1 << k for k in range(size.bit_length()) if 1 << k <= size]
+    place = np.full(at[-1] + 1, -1, np.int32)
+    place[at] = np.arange(n)
     ends, starts = [], []
     for w in powers:
-        j = np.searchsorted(at, at - w)
-        hit = np.flatnonzero((at >= w) & (at[np.minimum(j, n - 1)] == at - w))
-        ends.append(hit)
+        from_ = int(np.searchsorted(at, w))
+        j = place[at[from_:] - w]
+        hit = np.flatnonzero(j >= 0)
+        ends.append(hit + from_)
         starts.append(j[hit])
     ends, starts = np.concatenate(ends), np.concatenate(starts)
     order = np.argsort(ends, kind="stable")
     starts, begin = starts[order].tolist(), np.searchsorted(ends[order], np.arange(n + 1)).tolist()
     pos, cost = at.tolist(), cost.tolist()
-    best, back, queue = [0] * n, [0] * n, deque([(0, 0, 0)])  # (best + place, place, index), best first
+    best, back, head = [0] * n, [0] * n, 0
+    keys, queue = [0], [0]  # best + place, and index, of the candidates from head on, best first
     for i in range(1, n):
         p = pos[i]
-        while queue[0][1] < p - size:
-            queue.popleft()
-        low, _, j = queue[0]
-        low += size - p
+        least = p - size
+        while pos[queue[head]] < least:
+            head += 1
+        j, low = queue[head], keys[head] - least
         for k in starts[begin[i] : begin[i + 1]]:
             if best[k] < low:
                 low, j = best[k], k
-        best[i], back[i] = low + cost[i], j
-        key = best[i] + p
-        while queue and queue[-1][0] > key:
+        low += cost[i]
+        best[i], back[i] = low, j
+        key = low + p
+        while len(keys) > head and keys[-1] > key:
+            keys.pop()
             queue.pop()
-        queue.append((key, p, i))
+        keys.append(key)
+        queue.append(i)
     out, i = [], n - 1
     while i:
         out.append(pos[i])
