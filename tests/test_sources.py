@@ -1,9 +1,13 @@
 """Readers on small files."""
 
+import datetime as dt
+import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidewater.plans import reports
 from tidewater.sources import files as IO
 
 
@@ -54,3 +58,14 @@ def test_zip_and_manifest(spark, tmp_path):
     assert IO.read_manifest(spark, str(tmp_path / "good.txt")) == [f"http://e/{i}" for i in range(3)]
     with pytest.raises(ValueError):
         IO.read_manifest(spark, str(tmp_path / "bad.txt"))
+
+
+def test_research_within_the_second(spark, tmp_path):
+    """A report counts by its fraction of a second, at both bounds."""
+    times = {"a": "2024-01-21 00:00:00.000", "b": "2024-01-21 00:00:00.001", "c": "2024-01-20 23:59:59.999999", "d": "2024-01-11 00:00:00", "e": "2024-01-10 23:59:59.999", "f": "2024-01-21 00:00:00.0000019", "g": "2024-01-12 00:00:00.5+08:00", "h": "2024-01-12", "i": "x"}
+    (tmp_path / "r.json").write_text(json.dumps({"asked": "1", "data": [{"infoCode": k, "publishDate": v} for k, v in times.items()]}))
+    got = IO.read_research(spark, str(tmp_path), F.lit("2024-01-21 00:00:00").cast("timestamp"), 10)
+    assert sorted(r.info_code for r in got.collect()) == ["a", "c", "d", "g"]
+    rows = [(i, dt.datetime(2024, 1, 21, 0, 0, 0, us), "view") for i, us in enumerate((0, 1, 400, 999_999))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.info_code for r in reports.q143_read_research(spark, str(tmp_path)).collect()] == ["0"]

@@ -291,7 +291,7 @@ def q142_read_announcements(spark, sf):
 def q143_read_research(spark, sf):
     """IO-23."""
     k = F.col("event_id")
-    item = F.struct(_s("event_id").alias("infoCode"), F.col("event_type").alias("title"), F.lit("R").alias("researcher"), F.when(k % 2 == 0, "600000").alias("stockCode"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("publishDate"))
+    item = F.struct(_s("event_id").alias("infoCode"), F.col("event_type").alias("title"), F.lit("R").alias("researcher"), F.when(k % 2 == 0, "600000").alias("stockCode"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("publishDate"))
     path = _json(spark, "research-json", _t(spark, sf, "events").select(F.lit("asked").alias("asked"), F.array(item).alias("data")))
     return IO.read_research(spark, path, F.lit("2024-01-21 00:00:00").cast("timestamp"), 10).select("info_code", "title", "author", "stock_code")
 

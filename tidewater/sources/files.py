@@ -228,11 +228,11 @@ def read_announcements(spark: SparkSession, path: str, listed: DataFrame) -> Dat
 
 
 def read_research(spark: SparkSession, path: str, now: Column, days: int = 30) -> DataFrame:
-    """IO-23: reports of responses (asked, data) published in the last `days` days."""
+    """IO-23: reports of responses (asked, data) published in the last `days` days, to the microsecond where the time has a fraction."""
     names = {"infoCode": "info_code", "title": "title", "stockName": "stock_name", "stockCode": "stock_code", "orgSName": "org_name", "researcher": "author", "emRatingName": "rating", "publishDate": "publish_date", "encodeUrl": "encode_url", "abstract": "abstract"}
     d = spark.read.schema("asked string, data array<struct<" + ",".join(f"{c}:string" for c in names) + ">>").json(path).select("asked", F.inline("data"))
     d = d.select(*[F.coalesce(c, F.col("asked") if c == "stockCode" else F.lit("")).alias(n) for c, n in names.items()])
-    day = F.try_to_timestamp(F.left("publish_date", F.lit(19)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    day = F.try_to_timestamp(F.regexp_extract("publish_date", r"^.{19}(?:\.\d{1,6})?", 0), F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]"))
     return d.where((day >= now - F.make_dt_interval(F.lit(days))) & (day <= now))
 
 
