@@ -174,10 +174,10 @@ def edge_type(name: Column) -> Column:
     return out.otherwise("RELATES_TO")
 
 
-def edge_type_of_fact(fact: Column) -> Column:
+def edge_type_of_fact(fact: Column, families=vocab.FACT_PATTERNS) -> Column:
     """S-24: first family one of whose patterns is found in the lower-cased fact; null if none."""
     low, out = F.lower(fact), None
-    for core, patterns in vocab.FACT_PATTERNS:
+    for core, patterns in families:
         hit = F.rlike(low, F.lit("|".join(f"(?:{p})" for p in patterns)))
         out = F.when(hit, core) if out is None else out.when(hit, core)
     return out
