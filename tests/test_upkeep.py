@@ -1,10 +1,13 @@
 """Queue stream, file register, file order and archives."""
 
 import datetime as dt
+import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidewater.operators import state as Q
 from tidewater.sources import files as IO
@@ -59,6 +62,67 @@ def test_stream_is_the_batch_log(spark, tmp_path, runs):
     assert got == want and out.groupBy("content_hash", "seq").count().where("count > 1").isEmpty()
 
 
+class Store:
+    """A slice's value and timers, and how often they were asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("cuts", [1, 9])
+def test_keys_share_a_slice(cuts):
+    """Keys of one slice have their own logs, whatever the cut; what is asked of the store grows with the batches, not the keys."""
+    rng, minute = random.Random(4), 60_000
+    commands = [(f"h{i}", 0, "capture", None, None) for i in range(90)]
+    for t in range(1, 400):
+        for i in rng.sample(range(100), 9):
+            kind = rng.choice(("claim", "claim", "claim", "done", "skip", "fail", "fail", "fail", "capture", "replay", "retry_dead", "other"))
+            commands.append((f"h{i}", t * minute, kind, rng.choice(("a", "a", None)), rng.choice((None, (t + rng.randint(-3, 40)) * minute))))
+    end, rows, want = 2000 * minute, {}, []
+    for h, at_ms, kind, owner, until in [*sorted(commands, key=K.order), *((f"h{i}", end, "end", None, None) for i in range(100))]:
+        for new in (lambda r, a=at_ms: K.lapse(r, a), lambda r, c=(kind, at_ms, owner, until): K.step(r, *c, 3)):
+            if (row := new(rows.get(h))) is not None:
+                rows[h] = row
+                want.append((h, *(row[f] for f in K.FIELDS)))
+    assert {r[2] for r in want} == {"pending", "processing", "done", "skipped", "failed", "dead"}
+
+    store, machine, got, fired = Store(), K.QueueMachine(3), [], 0
+    machine.init(store)
+    size = -(-len(commands) // cuts)
+    parts = [commands[i : i + size] for i in range(0, len(commands), size)]
+    for n, part in enumerate(parts, 1):
+        frame = pd.DataFrame(part + [(None, part[-1][1], "tick", None, None)], columns=["content_hash", "at_ms", "kind", "owner", "until_ms"])
+        mark = end if n == len(parts) else part[-1][1] - minute
+        got += machine.handleInputRows((5,), iter([frame[:100], frame[100:]]), TimerValues(0, 0))
+        while due := [t for t in store.timers if t <= mark]:
+            got += machine.handleExpiredTimer((5,), TimerValues(0, mark), ExpiredTimerInfo(min(due)))
+            store.timers.remove(min(due))
+            fired += 1
+    logged = [(r[0], int(r[1]), r[2], int(r[3]), r[4], None if pd.isna(r[5]) else int(r[5]), int(r[6])) for d in got for r in d.itertuples(index=False, name=None)]
+    by = lambda r: (r[0], r[1])
+    assert sorted(logged, key=by) == sorted(want, key=by)
+    assert fired <= cuts and store.asked <= 4 * cuts + 3 * fired
+
+
 def test_lease_without_end_and_replay(spark):
     row = K.step(None, "capture", 0, None, None, 3)
     row = K.step(row, "claim", 5, "a", None, 3)
